@@ -151,7 +151,6 @@ def mix_sources(texts: DataFrame, targets: DataFrame, total_tokens: int | None =
 def mix_report(drawn: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, actual_share, tokens, uses, documents) of each target, those without texts too."""
     got = drawn.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("uses"), F.countDistinct("doc_id").alias("documents"))
-    total = got.agg(F.sum("tokens").alias("total"))
-    out = targets.select("source", "target_share").join(got, "source", "left").crossJoin(total)  # one row
+    out = targets.select("source", "target_share").join(got, "source", "left").withColumn("total", F.sum("tokens").over(Window.partitionBy()))  # a row a target
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
-    return out.select("source", "target_share", (F.coalesce("tokens", F.lit(0)) / F.col("total")).alias("actual_share"), zero("tokens"), zero("uses"), zero("documents"))
+    return out.select("source", "target_share", F.try_divide(F.coalesce("tokens", F.lit(0)), F.col("total")).alias("actual_share"), zero("tokens"), zero("uses"), zero("documents"))
