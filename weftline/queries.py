@@ -1,4 +1,4 @@
-"""Registry of the core queries and their SQL."""
+"""All core queries and their SQL."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.catalog import dialogue, graphs, relational, searching  # noqa: F401  (they register themselves)
+from weftline.catalog.registry import QUERIES, SQL
 from weftline.operators.flatten import flatten_members, flatten_objects
 from weftline.operators.latest import latest_rows
 from weftline.session import table
@@ -30,9 +32,13 @@ def p5_members(spark: SparkSession, d: str) -> DataFrame:
     return _nested(spark, d, flatten_members)
 
 
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return searching.hybrid_search(spark, d)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found, "p5_members": p5_members}
+    return {"p5_found": p5_found, "p5_members": p5_members} | QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
