@@ -154,7 +154,7 @@ with v as (
   select 'resource_embeddings' as vec_table, embedding_name as m, lower(id) as id, embedding_vector::double[] as v from resource_embeddings
   union all select 'embedding_records', embedding_name, lower(id), embedding::double[] from embedding_records),
 ok as (select * from v where v is not null and len(v) > 0 and id is not null),
-usual as (select vec_table as t, m as n, len(v) as dim from ok group by all qualify row_number() over (partition by vec_table, m order by count(*) desc, len(v)) = 1),
+usual as (select t, n, dim from (select *, row_number() over (partition by t, n order by k desc, dim) as rn from (select vec_table as t, m as n, len(v) as dim, count(*) as k from ok group by 1, 2, 3)) where rn = 1),
 good as (select distinct vec_table, m, id, v from ok join usual on vec_table = t and m is not distinct from n and len(v) = dim
   where len(list_filter(v, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0)
 select a.vec_table, a.id as id_a, b.id as id_b from good a join good b on a.vec_table = b.vec_table and a.m is not distinct from b.m and a.id < b.id
