@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.graph import steps
 
-_TOKEN = re.compile(r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<num>\d+(?:\.\d+)?(?!\.))|(?P<range>\.\.)|(?P<name>[A-Za-z_]\w*)|(?P<op><-|->|<>|<=|>=|[-(){}\[\]:,.*=<>+/|]))")
+_TOKEN = re.compile(r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<num>\d+(?:\.\d+)?)|(?P<range>\.\.)|(?P<name>[A-Za-z_]\w*)|(?P<op><-|->|<>|<=|>=|[-(){}\[\]:,.*=<>+/|]))")
 
 
 class CypherError(ValueError):
