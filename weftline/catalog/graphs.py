@@ -10,7 +10,7 @@ from weftline.catalog.frames import TRADE_SQL
 from weftline.catalog.registry import current, query
 from weftline.operators import graph as g
 from weftline.plans.cypher import Cypher, cypher_query
-from weftline.session import table
+from weftline.session import cut, table
 
 
 @query("select n_name as nation, r_name as region from nation join region on n_regionkey = r_regionkey where r_name = 'ASIA' or r_name = 'EUROPE'")
@@ -86,8 +86,9 @@ def a9_compact_candidates(spark: SparkSession, d: str) -> DataFrame:
 select event_type as rel_type, (sum(n) + count(*) filter (n > 4))::bigint as edges, (count(*) filter (n > 4))::bigint as hubs from c group by 1""")
 def a9_compact_memory(spark: SparkSession, d: str) -> DataFrame:
     """Edges of each type after compaction (twice, which must change nothing), and how many go to hubs."""
-    n, e, _ = g.compact_hubs(*frames.memory_graph(spark, d), threshold=4)
-    n2, e2, _ = g.compact_hubs(n, e, threshold=4)
+    nodes, edges = frames.memory_graph(spark, d)
+    n, e, _ = g.compact_hubs(nodes, cut(edges), threshold=4)
+    n2, e2, _ = g.compact_hubs(cut(n), cut(e), threshold=4)
     hubs = n2.where(F.col("props")["is_hub"] == "true").select(F.col("id").alias("dst"), F.lit(1).alias("h"))
     return e2.join(hubs, "dst", "left").groupBy("rel_type").agg(F.count("*").alias("edges"), F.count("h").alias("hubs"))
 

@@ -19,10 +19,24 @@ def trigrams(c: Column) -> Column:
     return F.array_distinct(F.flatten(grams))
 
 
+def trigrams_of(value: str) -> Column:
+    """The trigrams of a plain string, made when the plan is built."""
+    grams: dict[str, None] = {}
+    for w in re.findall(r"[^\W_]+", value.lower()):
+        padded = f"  {w} "
+        grams.update((padded[i : i + 3], None) for i in range(len(w) + 1))
+    return F.array(*[F.lit(g) for g in grams]) if grams else F.array().cast("array<string>")
+
+
 def overlap(a: Column, b: Column) -> Column:
-    """Jaccard overlap of two sets of trigrams; 0 for two empty ones."""
-    both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
-    return F.when(either > 0, both / either).otherwise(F.lit(0.0))
+    """Jaccard overlap of two sets of trigrams; 0 for two empty ones. Each side is evaluated once."""
+
+    def share(x: Column, y: Column) -> Column:
+        both = F.size(F.array_intersect(x, y))
+        either = F.size(x) + F.size(y) - both
+        return F.when(either > 0, both / either).otherwise(F.lit(0.0))
+
+    return F.transform(F.array(F.struct(a.alias("x"), b.alias("y"))), lambda p: share(p["x"], p["y"]))[0]
 
 
 def similarity(a: Column, b: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.text import contains_ci, overlap, trigrams
+from weftline.functions.text import contains_ci, overlap, trigrams, trigrams_of
 from weftline.functions.vector import cosine_distance, l2, literal_vector
 
 Vector = Sequence[float] | Column
@@ -59,8 +59,8 @@ def group_similarity(embeddings: DataFrame, query: Vector, vector: str, group: S
 
 def fuzzy_match(df: DataFrame, key: str, term: str, threshold: float = 0.4) -> DataFrame:
     """Rows whose key is more similar to ``term`` than ``threshold`` by trigrams, with ``score``."""
-    s = overlap(trigrams(F.col(key)), trigrams(F.lit(term)))
-    return df.withColumn("score", s).where(F.col("score") > threshold)
+    once = F.transform(F.array(overlap(trigrams(F.col(key)), trigrams_of(term))), lambda s: F.when(s > threshold, s))[0]
+    return df.withColumn("score", F.explode(F.filter(F.array(once), lambda s: s.isNotNull())))  # a filter would work it out again
 
 
 def fuzzy_entities(df: DataFrame, key: str, terms: Sequence[str], threshold: float = 0.5, max_per_term: int = 5) -> DataFrame:
@@ -141,16 +141,12 @@ def resource_metrics(resources: DataFrame, user: str | None = None, limit: int =
     return agg.orderBy(F.desc_nulls_last("max_date"), F.desc("chunk_count"), "uri", F.asc_nulls_last("userid")).limit(limit)
 
 
-def filename_score(c: Column, query: str, least: float = 0.3) -> Column:
-    """0.7 + 0.3 x trigram similarity where that exceeds ``least``, else 0."""
-    s = overlap(trigrams(c), trigrams(F.lit(query)))
-    return F.when(s > least, 0.7 + 0.3 * s).otherwise(F.lit(0.0))
-
-
 def filename_match(df: DataFrame, name: str, query: str, least: float = 0.3) -> DataFrame:
-    """Rows whose name contains the query or is similar to it, with ``filename_score``."""
-    s = overlap(trigrams(F.col(name)), trigrams(F.lit(query)))
-    return df.where(contains_ci(F.col(name), query) | (s > least)).withColumn("filename_score", filename_score(F.col(name), query, least))
+    """Rows whose name contains the query or is similar to it by more than ``least``, with ``filename_score``: 0.7 + 0.3 x similarity, or 0 where it is not."""
+    c = F.col(name)
+    similar = overlap(trigrams(c), trigrams_of(query))
+    once = F.transform(F.array(similar), lambda s: F.when(s > least, 0.7 + 0.3 * s).when(contains_ci(c, query), F.lit(0.0)))[0]
+    return df.withColumn("filename_score", F.explode(F.filter(F.array(once), lambda s: s.isNotNull())))  # a filter would work it out again
 
 
 def resource_search(semantic: DataFrame, names: DataFrame, null_safe: bool = False) -> DataFrame:
