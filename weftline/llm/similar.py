@@ -109,9 +109,16 @@ class _Best:
         touched[row] = True
         old = touched[self.row]
         r, s, o = np.concatenate([self.row[old], row]), np.concatenate([self.sim[old], sim]), np.concatenate([self.other[old], other])
-        order = np.lexsort((o, -s, r))
+        order = np.lexsort((-s, r))
         r, s, o = r[order], s[order], o[order]
         rank = np.arange(len(r)) - np.searchsorted(r, r)
+        # ids decide only where equal similarities straddle the end of a list
+        over = np.flatnonzero((rank == self.k) & (s == np.concatenate([[np.nan], s[:-1]])))
+        if len(over):
+            tied = np.isin(r, r[over])
+            fixed = np.flatnonzero(tied)
+            again = np.lexsort((o[fixed], -s[fixed], r[fixed]))
+            s[fixed], o[fixed] = s[fixed][again], o[fixed][again]
         keep = rank < self.k
         full = rank == self.k - 1
         self.floor[r[full]] = s[full]
