@@ -32,6 +32,26 @@ def p5_members(spark: SparkSession, d: str) -> DataFrame:
     return _nested(spark, d, flatten_members)
 
 
+_OPEN = "case when json_type({j}) = 'VARCHAR' and json_valid(trim({j} ->> '$')) and json_type(trim({j} ->> '$')) in ('OBJECT', 'ARRAY', 'VARCHAR') then trim({j} ->> '$')::json else {j} end"
+
+
+def _now(t: str, column: str) -> str:
+    return f"(select lower(id) as rid, {column} from (select *, row_number() over (partition by lower(id) order by updated_at desc nulls last) as _rn from {t} where id is not null) where _rn = 1)"
+
+
+P5 = rf"""
+with recursive raw as (select 'agents.spec' as src, rid, trim(spec, E' \t\n\r') as t from {_now('agents','spec')} union all select 'agents.functions', rid, trim(functions, E' \t\n\r') from {_now('agents','functions')}
+  union all select 'api_functions.function_spec', rid, trim(function_spec, E' \t\n\r') from {_now('api_functions','function_spec')} union all select 'ai_responses.tool_calls', rid, trim(tool_calls, E' \t\n\r') from {_now('ai_responses','tool_calls')}),
+a as (select src, rid, t::json as j from raw where json_valid(t)),
+a1 as (select src, rid, {_OPEN.format(j='j')} as j from a), a2 as (select src, rid, {_OPEN.format(j='j')} as j from a1), a3 as (select src, rid, {_OPEN.format(j='j')} as j from a2),
+n as (
+  select src, rid, '$' as path, '$' as owner, j, 0 as depth from a3 where json_type(j) in ('OBJECT', 'ARRAY')
+  union all
+  select src, rid, path || case when box = 'ARRAY' then '[' || k || ']' else '.' || k end, case when box = 'OBJECT' then path else owner end, {_OPEN.format(j=_OPEN.format(j='v'))}, depth + 1
+  from (select n.src, n.rid, n.path, n.owner, n.depth, json_type(n.j) as box, e.key as k, e.value as v from n, json_each(n.j) e where json_type(n.j) in ('OBJECT', 'ARRAY') and n.depth < 40))
+select distinct src as src_field, rid as record_id, path as node_path, owner as parent_path from n where json_type(j) = 'OBJECT' and depth > 0"""
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return searching.hybrid_search(spark, d)
 
@@ -41,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {"p5_found": P5} | SQL
