@@ -172,5 +172,30 @@ union all select 'markdown_chunks', id from m where length(content) > (select ma
 )
 
 
+#: a JSON string that is itself JSON of an object, array or string stands for that
+_OPEN = "case when json_type({j}) = 'VARCHAR' and json_valid(trim({j} ->> '$')) and json_type(trim({j} ->> '$')) in ('OBJECT', 'ARRAY', 'VARCHAR') then trim({j} ->> '$')::json else {j} end"
+_NOW = "(select * from (select *, row_number() over (partition by lower(id) order by updated_at desc nulls last) as _rn from ai_responses where id is not null) where _rn = 1)"
+
+_P2 = f"""
+with m as (select lower(id) as id, lower(session_id) as sid, created_at, content, tool_calls, tool_eval_data,
+    case when trim(lower(role)) in ('user', 'human', 'customer', 'client', 'guest', 'person') then 'user' when trim(lower(role)) in ('assistant', 'ai', 'bot', 'model', 'agent') then 'assistant'
+      when trim(lower(role)) in ('system', 'developer') then 'system' when trim(lower(role)) in ('tool', 'function', 'tool_result') then 'tool' end as who,
+    coalesce(regexp_matches(content, '[^\\s\\p{{Z}}\\p{{Cf}}\\x{{85}}\\x{{1c}}-\\x{{1f}}\\x{{34f}}\\x{{180e}}\\x{{0b}}]'), false) as seen
+  from {_NOW} where session_id is not null),
+o as (select *, row_number() over (partition by sid order by created_at nulls first, case who when 'system' then 0 when 'user' then 1 when 'assistant' then 2 else 3 end, id) as n from m),
+t0 as (select sid, id, 'call' as side, trim(tool_calls) as t from m where tool_calls is not null union all select sid, id, 'result', trim(tool_eval_data) from m where tool_eval_data is not null),
+bad as (select distinct sid from t0 where side = 'call' and not json_valid(t)),
+t1 as (select sid, side, t::json as j from t0 where json_valid(t)),
+t2 as (select sid, side, {_OPEN.format(j='j')} as j from t1), t3 as (select sid, side, {_OPEN.format(j='j')} as j from t2), t4 as (select sid, side, {_OPEN.format(j='j')} as j from t3),
+e as (select sid, side, unnest(case when json_type(j) = 'ARRAY' then from_json(j, '["json"]') else [j] end) as x from t4),
+k as (select sid, side, case when side = 'call' then coalesce(nullif(x ->> '$.id', ''), x ->> '$.function.name', x ->> '$.functionCall.name', x ->> '$.name', '') else coalesce(x ->> '$.id', x ->> '$.tool_call_id', x ->> '$.tool_use_id', '') end as key from e where json_type(x) = 'OBJECT' and x::varchar <> '{{}}'),
+odd as (select sid from k group by sid, key having count(distinct side) < 2 or key = ''),
+f as (select sid, bool_or(who in ('user', 'assistant') and seen) as talks, arg_min(who, n) filter (who is null or who <> 'system') as opener from o group by sid),
+g as (select sid, sum(case when who = 'user' then 1 else 0 end) over (partition by sid order by n) as turn, who, seen from o),
+r as (select distinct sid from (select sid, turn from g where turn > 0 group by sid, turn having not bool_or(who = 'assistant' and seen))),
+v as (select * from (select sid, case when not talks then 'empty' when opener is distinct from 'user' or sid in (select sid from bad) or sid in (select sid from odd) then 'broken' when sid in (select sid from r) then 'missing_reply' end as reason from f))"""
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1, "p3_found": P3}
+    found = _P2 + "select sid as session_id, reason from v where reason is not null"
+    kept = _P2 + "select sid as conversation, n - 1 as position, id, who as speaker, content, tool_calls, created_at from o where sid in (select sid from v where reason is null)"
+    return {"p1_found": P1, "p2_found": found, "p2_conversations": kept, "p3_found": P3}
