@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 2048
+#: rows of a tile, and blocks that are compared at once
+TILE_ROWS, TILE_BLOCKS = 1024, 4
 LEVELS = 127
 
 
@@ -83,8 +85,8 @@ class _Best:
         unit /= np.linalg.norm(unit, axis=1)[:, None]
         code, step, error = _codes(unit)
         worst = float(error.max())
-        for lo in range(0, self.m, BLOCK):
-            hi = min(self.m, lo + BLOCK)
+        for lo in range(0, self.m, TILE_ROWS):
+            hi = min(self.m, lo + TILE_ROWS)
             tile = self.code[lo:hi] @ code.T
             scale, slack = self.step * step, self.error[lo:hi] * (1 + worst) + worst + 1e-9
             floor = self.floor[lo:hi]
@@ -130,17 +132,19 @@ class _Best:
         return self.ids[r], self.other[order], self.sim[order], np.arange(len(r)) - np.searchsorted(r, r) + 1
 
 
-def similar_vectors(vectors: DataFrame, k: int = 10, query_rows: int = 16384, block_rows: int = BLOCK) -> DataFrame:
+def similar_vectors(vectors: DataFrame, k: int = 10, query_rows: int | None = None, block_rows: int = BLOCK) -> DataFrame:
     """The ``k`` nearest other vectors of each vector by cosine: (vec_table, model, id, neighbour, similarity, rank).
 
     ``vectors`` as from :func:`usable_vectors` (a union of several tables is fine). ``query_rows``: queries a task holds;
-    larger ones shuffle less, smaller ones give more tasks.
+    larger ones shuffle less, smaller ones give more tasks. By default three tasks a core, of 4,096 to 65,536 queries.
     """
     spark = vectors.sparkSession
-    from weftline.session import cut
+    from weftline.session import cut, parallelism
 
     vectors = cut(vectors)
-    per = max(1, query_rows // block_rows)
+    if query_rows is None:
+        query_rows = min(65_536, max(4_096, -(-vectors.count() // (3 * parallelism(spark, 4)))))
+    per = max(1, -(-query_rows // block_rows))
     size = vectors.groupBy("vec_table", "model").agg(F.count("*").alias("rows"))
     size = size.withColumn("blocks", F.ceil(F.col("rows") / block_rows)).withColumn("tasks", F.ceil(F.col("blocks") / per))
     before = Window.orderBy("vec_table", "model").rowsBetween(Window.unboundedPreceding, -1)
@@ -157,6 +161,7 @@ def similar_vectors(vectors: DataFrame, k: int = 10, query_rows: int = 16384, bl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine: list[tuple[np.ndarray, np.ndarray]] = []
+        others: list[tuple[np.ndarray, np.ndarray]] = []
         best, name = None, (None, None)
         for b in batches:
             for i in range(b.num_rows):
@@ -168,9 +173,14 @@ def similar_vectors(vectors: DataFrame, k: int = 10, query_rows: int = 16384, bl
                     continue
                 if best is None:
                     best = _start(mine, k)
-                best.add(ids, mat)
+                others.append((ids, mat.copy()))
+                if len(others) == TILE_BLOCKS:
+                    best.add(np.concatenate([x[0] for x in others]), np.concatenate([x[1] for x in others]))
+                    others = []
         if mine and best is None:
             best = _start(mine, k)
+        if others:
+            best.add(np.concatenate([x[0] for x in others]), np.concatenate([x[1] for x in others]))
         if best is None:
             return
         a, o, s, rank = best.result()
@@ -184,8 +194,9 @@ def similar_vectors(vectors: DataFrame, k: int = 10, query_rows: int = 16384, bl
 
 def _start(mine: list[tuple[np.ndarray, np.ndarray]], k: int) -> _Best:
     best = _Best(np.concatenate([m[0] for m in mine]), np.concatenate([m[1] for m in mine]), k)
-    for ids, mat in mine:
-        best.add(ids, mat)
+    for lo in range(0, len(mine), TILE_BLOCKS):
+        part = mine[lo : lo + TILE_BLOCKS]
+        best.add(np.concatenate([x[0] for x in part]), np.concatenate([x[1] for x in part]))
     return best
 
 
