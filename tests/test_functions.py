@@ -10,7 +10,7 @@ def one(spark, col):
 
 
 def test_trigram_values(spark):
-    for a, b, want in [("agent", "Agent", 1.0), ("p8.Agent", "Agent", 0.667), ("resource_id", "Resource", 0.75), ("p8.Resources", "Resource", 0.571), ("resource_timestamp", "Resource", 0.474)]:
+    for a, b, want in [("agent", "Agent", 1.0), ("ns.Agent", "Agent", 0.667), ("resource_id", "Resource", 0.75), ("ns.Resources", "Resource", 0.571), ("resource_timestamp", "Resource", 0.474)]:
         assert abs(one(spark, text.similarity(F.lit(a), F.lit(b))) - want) < 1e-3
     assert one(spark, text.similarity(F.lit(""), F.lit("..."))) == 0.0
 

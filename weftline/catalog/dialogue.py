@@ -34,9 +34,6 @@ def e7_canonical_messages(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("session_id", "rank", "role").agg(F.count("*").alias("n"), F.min("content").alias("first"))
 
 
-_CALLS = """(select event_id, user_id % 50 as s, ts, '[{"id":"c' || event_id || '","type":"function","function":{"name":"' || event_type || '","arguments":"{}"}}]' as tool_calls, '[{"id":"c' || event_id || '","data":"' || value || '"}]' as tool_eval_data from events)"""
-
-
 @query("""select (user_id % 50)::varchar as session_id, 'assistant' as role, 'c' || event_id as tool_call_id, event_type as content from events
 union all select (user_id % 50)::varchar, 'tool', 'c' || event_id, event_id::varchar from events""")
 def e7_tool_messages(spark: SparkSession, d: str) -> DataFrame:
