@@ -85,7 +85,7 @@ def _pack(pdf: pd.DataFrame, tag: str) -> pd.DataFrame:
     sizes = pdf.loc[some, "size"].astype(int).tolist()
     index = pdf.index[some].tolist()
     number = [0] * len(pdf)
-    fill = [0.0] * max(1, 1)
+    fill = [0.0]
     bins = best_two_fit(sizes, capacity)
     if bins:
         fill = [sum(sizes[i] for i in b) / capacity for b in bins]
