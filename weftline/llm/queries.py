@@ -13,7 +13,7 @@ from weftline.session import cut, parallelism, table
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where the files alone would make fewer tasks than there are cores."""
+    """Rows of a scan over all cores, where the files alone would make fewer tasks than there are cores."""
     n = parallelism(df.sparkSession)
     return df if df.rdd.getNumPartitions() >= n // 2 else df.repartition(n)
 
@@ -82,13 +82,13 @@ def _pii_tables(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, str |
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     tables = _pii_tables(spark, d)
     finder, model = pii.train(tables, table(spark, d, "known_names"))
-    return pii.find_pii(_spread(pii.current_contents(tables)), finder, model).select("src_table", "record_id", "pii_type", "nth")
+    return pii.find_pii(pii.current_contents(tables), finder, model).select("src_table", "record_id", "pii_type", "nth")
 
 
 def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
     tables = _pii_tables(spark, d)
     finder, model = pii.train(tables, table(spark, d, "known_names"))
-    return pii.redact_contents(_spread(pii.current_contents(tables)), finder, model)
+    return pii.redact_contents(pii.current_contents(tables), finder, model)
 
 
 # 6 -- containers
