@@ -68,3 +68,24 @@ def test_em_learns_a_letter_from_its_neighbours(spark, docs):
     rows = [("s", 3, "¤", "ß", a, b, 40) for a, b in (("r", "p"), ("a", "s"), ("t", "i"), ("c", "p"))]
     out = g.learn_ciphers(spark.createDataFrame(rows, g.UNITS), lm, faith=0.5).collect()
     assert len(out) == 1 and out[0].symbol == "¤" and out[0].letter != "" and 0 < out[0].share <= 1
+
+
+def test_unlisted_swap_is_learned_from_nothing(spark):
+    """cp1252 read as cp1253 is no pair of the list."""
+    assert "cp1253" not in {x for s in g.SWAPS for x in s}
+    rnd, bits = random.Random(7), [x for t in ("fr", "de", "es") for x in CLEAN[t].replace("«", "").replace("»", "").replace("’", "'").replace("–", "-").split(". ") if x.strip()]
+    words = sorted({w for x in bits for w in x.split()})
+    rows = [(i, "s1" if i % 2 else "s2", " ".join(rnd.sample(words, 30))) for i in range(1200)]
+    bad = {i: " ".join(rnd.sample(words, 30)) for i in range(5000, 5060)}
+    rows += [(i, "s1", t.encode("cp1252").decode("cp1253", "ignore")) for i, t in bad.items()]
+    rows += [(9000 + i, "s2", "plain words and Ελλάδα, Αθήνα or θ = 3") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").cache()
+    lm = g.language_of(docs)
+    found, ciphers = g.garbled_with_ciphers(docs, lm)
+    found = found.cache()
+    ids = {r.doc_id for r in found.collect()}
+    assert len(ids & set(bad)) >= 57 and len(ids - set(bad)) <= 1
+    learned = {r.symbol: r.letter for r in ciphers.collect() if r.source == "s1"}
+    assert learned["ι"] == "é" and all(ord(c) < 128 or s.encode("cp1253").decode("cp1252") == c for s, c in learned.items())
+    back = {r.doc_id: r.restored for r in g.restore(docs, found, lm, ciphers).collect()}
+    assert sum("é" in back[i] for i in ids & set(bad) if "é" in bad[i]) > 50

@@ -8,10 +8,11 @@ between them.
    documents). The clean ones give bigram probabilities; the tables are bounded by the alphabets.
 2. *Scan.* Each run of characters outside ASCII that the language finds surprising is deciphered under every swap
    (wrong decoder x true encoding); its gain is the difference of the log probabilities. The gain of a document under a
-   swap is that of its best contiguous passage. Runs no swap explains are kept as unknown symbols with their contexts.
+   swap is that of its best contiguous passage. The surprising runs are kept with their neighbours.
 3. *Expectation maximisation per source.* Weights of the swaps in a source and the letter that each symbol stands for
    are learned in turns: expected letters from the bigrams and the current table, then the table from the expected letters,
-   starting from the code pages where a swap is known and from nothing where it is not.
+   starting from the code pages where a swap is listed. For a source's documents that no listed swap wins, the letters of
+   the symbols in their surprising runs are learned from a flat start; these make up one unlisted swap of the source.
 4. *Decision and repair.* Documents whose gain with the weight of the swap in their source is high enough are garbled;
    the winning passages are rewritten with the learned table by ``str.translate``.
 
@@ -65,6 +66,7 @@ def swaps() -> list[tuple[str, str]]:
 
 
 SWAPS = swaps()
+UNLISTED = len(SWAPS)  # the swap of a source that no pair of code pages above makes; its letters are learned
 
 
 @lru_cache(maxsize=None)
@@ -175,6 +177,7 @@ def _signs() -> re.Pattern:
         alternatives.append(cls(b, 0xE2, 0xE3) + cls(b, 0x80, 0x82) + cls(b, 0x80, 0xBF))
     # signs of single-byte swaps: a sign inside a word, a capital after a small letter, accents in a row
     alternatives += ["(?<=[a-z])[¡-©«-¶¸-¿×÷‚„†‡•‰€™ˆ˜¬√∆∞≈ﬁﬂ◊](?=[a-z])", "(?<=[a-z])[À-ÖØ-ÞŠŽŸ]", "(?<=[а-яё])[А-ЯЁ]", "[А-ЯЁ]{2}(?=[а-я])", "[À-ÿŠŽšžŸŒœ]{4}", "(?<=[a-z])[\u0400-\u04ff]"]
+    alternatives += ["(?<=[a-z])[\u0370-\u03ff\u0590-\u06ff\u0e00-\u0e7f](?=[a-z])"]  # other scripts inside a word
     return re.compile("|".join(alternatives))
 
 
@@ -313,8 +316,8 @@ class Decoder:
             said = again
         return said
 
-    def scan(self, text: str) -> tuple[bool, list[tuple[int, float, int, int]], list[tuple[str, str, str]]]:
-        """(decided by a character that proper text never has, [(swap, gain, from, to)], unexplained runs)."""
+    def scan(self, text: str) -> tuple[bool, list[tuple[int, float, int, int]], list[str]]:
+        """(decided by a character that proper text never has, [(swap, gain, from, to)], surprising runs between their neighbours)."""
         text = unquoted(text)
         contexts = set(CONTEXT.findall(text))
         if contexts <= self.calm:
@@ -323,16 +326,14 @@ class Decoder:
         sure = any(NEVER.search(c) for c in fresh)
         if not sure and all([self.quiet(c) for c in fresh]):
             return False, [], []
-        runs, active, unknown = [], set(), []
+        runs, active, odd = [], set(), []
         for m in RUN.finditer(text):
             a, b = m.span()
             g = self.gains(text[a - 1] if a else "\n", m.group(), text[b] if b < len(text) else "\n")
             runs.append((a, b, g))
             if g is not None:
-                good = [k for k, v in g.items() if v > 0.5]
-                active.update(good)
-                if not good:
-                    unknown.append((text[a - 1] if a else "\n", m.group(), text[b] if b < len(text) else "\n"))
+                active.update(k for k, v in g.items() if v > 0.5)
+                odd.append((text[a - 1] if a else "\n") + m.group() + (text[b] if b < len(text) else "\n"))
         found = []
         for k in active:
             best = now = 0.0
@@ -348,12 +349,12 @@ class Decoder:
             if best > 1:
                 found.append((k, best, lo, hi))
         found.sort(key=lambda x: -x[1])
-        return sure, found[:8], unknown
+        return sure, found[:8], odd
 
 
 # ---------------------------------------------------------------- Spark
 
-SCAN = "doc_id long, source string, sure boolean, swaps array<int>, gains array<double>"
+SCAN = "doc_id long, source string, sure boolean, swaps array<int>, gains array<double>, odd array<string>"
 
 
 def language_of(texts: DataFrame, text: str = "text") -> Language:
@@ -364,23 +365,24 @@ def language_of(texts: DataFrame, text: str = "text") -> Language:
 
 
 def scan_documents(docs: DataFrame, language: Language) -> DataFrame:
-    """(doc_id, source, sure, swaps, gains) of the documents with any doubt about them; all others are proper text."""
+    """(doc_id, source, sure, swaps, gains, odd) of the documents with any doubt about them; all others are proper text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = decoder_for(language)
         for b in batches:
-            keep, sure, swap, gain = [], [], [], []
+            keep, sure, swap, gain, odds = [], [], [], [], []
             for i, t in enumerate(b.column(2).to_pylist()):
                 if t is None or t.isascii():
                     continue
-                certain, found, _ = decoder.scan(t)
-                if certain or found:
+                certain, found, odd = decoder.scan(t)
+                if certain or found or odd:
                     keep.append(i)
                     sure.append(certain)
                     swap.append([f[0] for f in found])
                     gain.append([f[1] for f in found])
+                    odds.append(odd)
             idx = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(idx), b.column(1).take(idx), pa.array(sure, pa.bool_()), pa.array(swap, pa.list_(pa.int32())), pa.array(gain, pa.list_(pa.float64()))], names=[x.split()[0] for x in SCAN.split(", ")])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(idx), b.column(1).take(idx), pa.array(sure, pa.bool_()), pa.array(swap, pa.list_(pa.int32())), pa.array(gain, pa.list_(pa.float64())), pa.array(odds, pa.list_(pa.string()))], names=[x.split()[0] for x in SCAN.split(", ")])
 
     return docs.select("doc_id", "source", "text").mapInArrow(run, SCAN)
 
@@ -418,12 +420,133 @@ def decide(scanned: DataFrame, sizes: DataFrame, rounds: int = 2, least: float =
 
 def garbled_documents(docs: DataFrame, language: Language | None = None) -> DataFrame:
     """The garbled documents of (doc_id, source, text): (doc_id, source, sure, swap, odds); swap is null where only lost characters show."""
+    return garbled_with_ciphers(docs, language or language_of(docs))[0]
+
+
+def garbled_with_ciphers(docs: DataFrame, language: Language) -> tuple[DataFrame, DataFrame]:
+    """The garbled documents, and (source, swap, symbol, letter, share) of the unlisted swaps found among them."""
     from weftline.session import cut
 
-    lm = language or language_of(docs)
-    scanned = cut(scan_documents(docs, lm))
+    scanned = cut(scan_documents(docs, language))
     sizes = cut(docs.groupBy("source").agg(F.count("*").alias("n_docs")))
-    return decide(scanned, sizes)
+    listed = cut(decide(scanned, sizes))
+    rest = scanned.join(listed.where("swap is not null").select("doc_id"), "doc_id", "left_anti").where(F.size("odd") > 0)
+    ciphers = cut(unlisted_ciphers(rest, language))
+    won = decide_unlisted(scanned.where(F.size("odd") > 0), ciphers, sizes, language)
+    both = listed.join(won.select(F.col("doc_id").alias("_d"), F.col("source").alias("_src"), F.col("odds").alias("_o")), F.col("doc_id") == F.col("_d"), "full")
+    new = F.coalesce(F.col("_o") > F.coalesce("odds", F.lit(float("-inf"))), F.lit(False))
+    swap, odds = F.when(new, F.lit(UNLISTED)).otherwise(F.col("swap")).alias("swap"), F.when(new, F.col("_o")).otherwise(F.col("odds")).alias("odds")
+    return both.select(F.coalesce("doc_id", "_d").alias("doc_id"), F.coalesce("source", "_src").alias("source"), F.coalesce("sure", F.lit(False)).alias("sure"), swap, odds), ciphers
+
+
+# ---------------------------------------------------------------- swaps that are not listed
+
+
+def unlisted_ciphers(rest: DataFrame, language: Language) -> DataFrame:
+    """(source, swap, symbol, letter, share) of the symbols in the surprising runs of documents that no listed swap explains."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for b in batches:
+            for source, odd in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total.update({(source, x[i], language.fold(x[i - 1]), language.fold(x[i + 1])) for x in odd for i in range(1, len(x) - 1)})  # once a document
+        rows = list(total)
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        yield pa.RecordBatch.from_arrays([*(pa.array(list(c), pa.string()) for c in cols), pa.array([total[r] for r in rows], pa.int64())], names=["source", "symbol", "before", "after", "n"])
+
+    seen = rest.select("source", "odd").mapInArrow(run, "source string, symbol string, before string, after string, n long")
+    seen = seen.groupBy("source", "symbol", "before", "after").agg(F.sum("n").alias("n"))
+    letters = _letters(language)
+    return seen.groupBy("source").applyInPandas(lambda key, pdf: pd.DataFrame([(key[0], UNLISTED, *x) for x in learn_from_nothing(pdf, language, letters)], columns=["source", "swap", "symbol", "letter", "share"]), "source string, swap int, symbol string, letter string, share double")
+
+
+def _letters(language: Language) -> list[str]:
+    return sorted(c for c in language.known if c > "\x7f" and (c.isalpha() or unicodedata.category(c)[0] in "PS") and not "㐀" <= c <= "鿿")
+
+
+def learn_from_nothing(pdf: pd.DataFrame, language: Language, letters: list[str], rounds: int = 25, least_n: int = 8, least_contexts: int = 2) -> list[tuple[str, str, float]]:
+    """(symbol, letter, share) by expectation maximisation from a flat start over (symbol, before, after, n).
+
+    A neighbour that is a symbol itself counts with its expected letters. A letter holds if most of the symbol's occurrences
+    take it, in several contexts, and it fits there about as well as it fits in proper text; a swap changes several letters,
+    each to another symbol.
+    """
+    many = pdf.groupby("symbol").agg(n=("n", "sum"), contexts=("n", "size"))
+    symbols = many.index[(many.n >= least_n) & (many.contexts >= least_contexts)].tolist()
+    cand = [c for c in letters if c not in set(symbols)]
+    if len(symbols) < 2 or not cand:
+        return []
+    at = {s: i for i, s in enumerate(symbols)}
+    g = pdf[pdf.symbol.isin(at)]
+    own, n = g.symbol.map(at).to_numpy(), g.n.to_numpy(float)
+    each = [language.fold(c) for c in cand]
+    inner = np.array([[language.pair(a, b) for b in each] for a in each])
+    plain = sorted({x for x in [*g.before, *g.after] if x not in at})
+    place = {x: i for i, x in enumerate([*plain, *symbols])}
+    from_plain = np.array([[language.pair(x, c) for c in each] for x in plain]).reshape(len(plain), len(cand))
+    to_plain = np.array([[language.pair(c, x) for c in each] for x in plain]).reshape(len(plain), len(cand))
+    before, after = g.before.map(place).to_numpy(), g.after.map(place).to_numpy()
+    theta = np.full((len(symbols), len(cand)), 1.0 / len(cand))
+    for _ in range(rounds):
+        fit = np.vstack([from_plain, theta @ inner])[before] + np.vstack([to_plain, theta @ inner.T])[after]
+        post = fit + np.log(theta)[own]
+        post = np.exp(post - post.max(axis=1, keepdims=True))
+        post /= post.sum(axis=1, keepdims=True)
+        theta = np.full(theta.shape, 0.01)
+        np.add.at(theta, own, n[:, None] * post)
+        theta /= theta.sum(axis=1, keepdims=True)
+    usual = {c: np.zeros(2) for c in each}  # sum of the log probabilities around a letter in proper text, and its count
+    for (x, y), p in language.logp.items():
+        k = np.exp(p) * language.one[x]
+        if y in usual:
+            usual[y] += (p * k, k)
+        if x in usual:
+            usual[x] += (p * k, 0)
+    out: dict[str, tuple[float, str, float]] = {}
+    for s, i in at.items():
+        mine, best = own == i, int(theta[i].argmax())
+        mean = float((fit[mine, best] * n[mine]).sum() / n[mine].sum())
+        total, k = usual[each[best]]
+        if theta[i, best] < 0.8 or not k or mean < total / k - 2.0:
+            continue
+        weight = float(n[mine].sum())
+        if cand[best] not in out or out[cand[best]][0] < weight:
+            out[cand[best]] = (weight, s, float(theta[i, best]))
+    return [(s, c, share) for c, (_, s, share) in out.items()] if len(out) >= 2 else []
+
+
+def decide_unlisted(scanned: DataFrame, ciphers: DataFrame, sizes: DataFrame, language: Language, prior: float = 50.0, least: float = 1.0) -> DataFrame:
+    """(doc_id, source, odds) of the documents whose best passage gains enough by the unlisted swap of their source, as in :func:`decide`."""
+    tables = ciphers.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("symbol", "letter"))).alias("cipher")).select(F.col("source").alias("_s"), "cipher")
+    joined = scanned.join(tables, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "source", "odd", "cipher")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep, gains = [], []
+            for i, (odd, cipher) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                gain = unlisted_gain(odd, {ord(k): v for k, v in cipher}, language)
+                if gain > 1:
+                    keep.append(i)
+                    gains.append(gain)
+            idx = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(idx), b.column(1).take(idx), pa.array(gains, pa.float64())], names=["doc_id", "source", "gain"])
+
+    gained = joined.mapInArrow(run, "doc_id long, source string, gain double")
+    k = gained.where("gain > 12").groupBy("source").agg(F.count("*").alias("k")).select(F.col("source").alias("_s"), "k")
+    size = sizes.select(F.col("source").alias("_n"), "n_docs")
+    weighed = gained.join(k, F.col("source").eqNullSafe(F.col("_s"))).join(size, F.col("source").eqNullSafe(F.col("_n")))
+    return weighed.select("doc_id", "source", (F.col("gain") + F.log(F.col("k") / (F.col("n_docs") + prior))).alias("odds")).where(F.col("odds") > least)
+
+
+def unlisted_gain(odd: list[str], cipher: dict[int, str], language: Language) -> float:
+    """Of the best passage of surprising runs; what the cipher leaves as it is counts against it."""
+    best = now = 0.0
+    for x in odd:
+        said = x[1:-1].translate(cipher)
+        gain = -4.0 if said == x[1:-1] else language.score(x[0], said, x[-1])[0] - language.score(x[0], x[1:-1], x[-1])[0]
+        now = max(now, 0.0) + gain
+        best = max(best, now)
+    return best
 
 
 # ---------------------------------------------------------------- learning and applying the cipher
@@ -452,7 +575,7 @@ def units_of(run: str, said: str, w: str, t: str) -> list[tuple[str, str]] | Non
 
 def cipher_statistics(docs: DataFrame, garbled: DataFrame, language: Language) -> DataFrame:
     """How often each symbol of a swap stands between which neighbours, by source."""
-    joined = docs.select("doc_id", "source", "text").join(garbled.where("swap is not null").select("doc_id", "swap"), "doc_id").select("source", "swap", "text")
+    joined = docs.select("doc_id", "source", "text").join(garbled.where(F.col("swap") < UNLISTED).select("doc_id", "swap"), "doc_id").select("source", "swap", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = decoder_for(language)
@@ -488,7 +611,7 @@ def learn_ciphers(statistics: DataFrame, language: Language, rounds: int = 6, fa
     Expected letters come from the bigrams on both sides times the current table; the table is re-estimated from them,
     with ``faith`` counts on the code page's own letter.
     """
-    letters = sorted(c for c in language.known if c > "\x7f" and (c.isalpha() or unicodedata.category(c)[0] in "PS") and not "㐀" <= c <= "鿿")
+    letters = _letters(language)
 
     def learn(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -547,6 +670,10 @@ def rewrite(text: str, swap: int, cipher: dict[str, str], decoder: Decoder) -> s
         g = decoder.gains(left, m.group(), right)
         if g is None:
             continue
+        if swap == UNLISTED:
+            out.append(text[at:a] + m.group().translate(single))
+            at = e
+            continue
         w, t = SWAPS[swap]
         if g.get(swap, -1.0) < 0:  # parts of such a text may also have lost their case or some bytes
             other = max(((v, k) for k, v in g.items() if SWAPS[k][0] in ("lower", "lost")), default=(0.0, 0))

@@ -137,8 +137,9 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 def p8_restored(spark: SparkSession, d: str) -> DataFrame:
     docs = _spread(table(spark, d, "documents").select("doc_id", "source", "text"))
     lm = garbled.language_of(docs)
-    bad = cut(garbled.garbled_documents(docs, lm))
-    ciphers = cut(garbled.learn_ciphers(garbled.cipher_statistics(docs, bad, lm), lm))
+    found, unlisted = garbled.garbled_with_ciphers(docs, lm)
+    bad = cut(found)
+    ciphers = cut(garbled.learn_ciphers(garbled.cipher_statistics(docs, bad, lm), lm).unionByName(unlisted))
     return garbled.restore(docs, bad, lm, ciphers)
 
 
