@@ -89,3 +89,15 @@ def test_unlisted_swap_is_learned_from_nothing(spark):
     assert learned["ι"] == "é" and all(ord(c) < 128 or s.encode("cp1253").decode("cp1252") == c for s, c in learned.items())
     back = {r.doc_id: r.restored for r in g.restore(docs, found, lm, ciphers).collect()}
     assert sum("é" in back[i] for i in ids & set(bad) if "é" in bad[i]) > 50
+
+
+def test_swap_far_down_by_gain_wins_by_its_weight(spark):
+    """Of the many swaps that read a passage well, the one its source is garbled by wins, wherever it ranks by gain."""
+    lm = g.Language(dict(g._pairs([t for t in CLEAN.values() for _ in range(200)])))
+    swap = g.SWAPS.index(("cp1250", "cp850"))
+    found = g.Decoder(lm).scan("Plain words. " + "rápidamente?".encode("cp850").decode("cp1250") + " and so on.")[1]
+    assert [k for k, *_ in found].index(swap) >= 8
+    row = lambda i, f: (i, "s", False, [x[0] for x in f], [x[1] for x in f], [])
+    rows = [row(i, [(swap, 30.0, 0, 1)]) for i in range(400)] + [row(999, found)]
+    out = g.decide(spark.createDataFrame(rows, g.SCAN), spark.createDataFrame([("s", 401)], "source string, n_docs long"))
+    assert {r.doc_id: r.swap for r in out.collect()}[999] == swap

@@ -349,7 +349,7 @@ class Decoder:
             if best > 1:
                 found.append((k, best, lo, hi))
         found.sort(key=lambda x: -x[1])
-        return sure, found[:8], odd
+        return sure, found, odd  # all: which of them wins depends on the weights of the source
 
 
 # ---------------------------------------------------------------- Spark
