@@ -108,3 +108,15 @@ def test_frames(spark, trained):
     assert pii.find_pii(now.limit(0), *trained).count() == 0
     names = spark.createDataFrame([], "name_part string, part_kind string")
     assert pii.train([("t", df.limit(0), "updated_at")], names)[0].lexicon == set()
+
+
+def test_words_are_counted_over_all_contents(spark):
+    rows = [(f"r{i}", 1, "Then Zorbel met the crew. " * 3 if i % 3 == 0 else "Nobody was there.") for i in range(300)]
+    rows += [(f"r{i}", 0, "Oldword was said.") for i in range(100)] + [("long", 1, "word " * 6_000 + "Endword")]
+    df = spark.createDataFrame(rows, "id string, updated_at int, content string")
+    tables, names = [("t", df, "updated_at")], spark.createDataFrame([("Mara", "given")], "name_part string, part_kind string")
+    finder, _ = pii.train(tables, names, train_texts=10_000)
+    assert finder.counts["Zorbel"] == 100 and "Oldword" not in finder.counts and finder.counts["Endword"] == 1
+    assert "Zorbel" in finder.skip
+    small, _ = pii.train(tables, names, train_texts=30)  # the share of texts counts, not which are in the sample
+    assert small.counts["Zorbel"] == 10 and small.counts["Nobody"] == 20 and "Zorbel" not in small.skip

@@ -513,9 +513,10 @@ def current_contents(tables: list[tuple[str, DataFrame, str | None]]) -> DataFra
 
 
 def train(tables: list[tuple[str, DataFrame, str | None]], known_names: DataFrame, train_texts: int = 9_000, train_chars: int = 20_000) -> tuple[Finder, Model]:
-    """Finder and model from at most about ``train_texts`` texts, chosen by a hash of their ids, and the fixed list of name parts.
+    """Finder and model from all current contents and the fixed list of name parts.
 
-    Only what the weights are fitted on is bounded: that many texts, of each at most ``train_chars`` characters.
+    Words are counted over all current contents. Only what the weights are fitted on is bounded: at most about
+    ``train_texts`` texts, chosen by a hash of their ids, of each at most ``train_chars`` characters.
     """
     names = known_names.select("name_part", "part_kind").collect()  # fixed, about 200 rows
     given = [r.name_part for r in names if r.part_kind == "given" and r.name_part]
@@ -526,28 +527,68 @@ def train(tables: list[tuple[str, DataFrame, str | None]], known_names: DataFram
         n = rows.count()
         every = max(1, n * len(tables) // train_texts)
         texts += [r.content for r in rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select(F.substring("content", 1, train_chars).alias("content")).limit(train_texts).collect()]
-    return prepare(texts, given, family)
+    return prepare(texts, given, family, count_words(current_contents(tables), given, family, train_texts))
+
+
+def words_of(text: str, lexicon: set[str]) -> set[tuple[str, str, str]]:
+    """What a text is counted for, once each: capitalised and small words, words beside a list word, capitalised pairs."""
+    out, prev, end = set(), "", -9
+    for m in WORD.finditer(text):
+        w = m.group()
+        out.add(("cap", w, ""))
+        if m.start() - end == 1 and (w.lower() in lexicon) != (prev.lower() in lexicon):
+            out.add(("beside", prev if w.lower() in lexicon else w, ""))
+        prev, end = w, m.end()
+    out.update(("low", w, "") for w in LOW.findall(text))
+    # pairs tell list words that are ordinary words as well
+    out.update(("pair", a, b) for a, b in PAIR.findall(text) if (a.lower() in lexicon) != (b.lower() in lexicon))
+    return out
+
 
+def count_words(contents: DataFrame, given: list[str], family: list[str], per: int) -> Counter:
+    """In how many of ``per`` texts each of :func:`words_of` is, by all contents; as it is where there are no more than ``per``.
 
-def prepare(texts: list[str], given: list[str], family: list[str]) -> tuple[Finder, Model]:
+    What comes to the driver is bounded by the words of ``per`` texts: counts that round to 0 stay away.
+    """
     lexicon = {w.lower() for w in given} | {w.lower() for w in family}
-    caps: Counter = Counter()
-    lows: Counter = Counter()
-    beside: Counter = Counter()
-    for t in texts:
-        prev, end = "", -9
-        for m in WORD.finditer(t):
-            w = m.group()
-            caps[w] += 1
-            if m.start() - end == 1 and (w.lower() in lexicon) != (prev.lower() in lexicon):
-                beside[prev if w.lower() in lexicon else w] += 1
-            prev, end = w, m.end()
-        lows.update(LOW.findall(t))
-    # list words that are ordinary words as well: often beside the same other word, or seen in lower case
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+
+        def rows() -> pa.RecordBatch:
+            cols = list(zip(*total, strict=True)) if total else [[]] * 3
+            return pa.RecordBatch.from_arrays([*(pa.array(list(c), pa.string()) for c in cols), pa.array(list(total.values()), pa.int64())], names=["kind", "a", "b", "n"])
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                total.update(words_of(t, lexicon))
+                total["texts", "", ""] += 1
+            if len(total) > 500_000:
+                yield rows()
+                total.clear()
+        yield rows()
+
+    from weftline.session import cut
+
+    counted = cut(contents.select("content").mapInArrow(run, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")))
+    texts = counted.where("kind = 'texts'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    share = min(1.0, per / max(1, texts))
+    return Counter({(r.kind, r.a, r.b): r.n for r in counted.select("kind", "a", "b", F.round(F.col("n") * share).cast("long").alias("n")).where("n > 0").collect()})
+
+
+def prepare(texts: list[str], given: list[str], family: list[str], counted: Counter | None = None) -> tuple[Finder, Model]:
+    """Finder and model fitted on ``texts``; ``counted`` as of :func:`count_words`, else of these texts."""
+    lexicon = {w.lower() for w in given} | {w.lower() for w in family}
+    if counted is None:
+        counted = Counter(x for t in texts for x in words_of(t, lexicon))
+    kinds: dict[str, Counter] = {"cap": Counter(), "low": Counter(), "beside": Counter(), "texts": Counter()}
     pairs: Counter = Counter()
-    for t in texts:
-        for m in PAIR.finditer(t):
-            pairs[m.group(1), m.group(2)] += 1
+    for (kind, a, b), n in counted.items():
+        if kind == "pair":
+            pairs[a, b] = n
+        else:
+            kinds[kind][a] = n
+    caps, lows, beside = kinds["cap"], kinds["low"], kinds["beside"]
     ambiguous = {w for w in lexicon if lows[w] >= 8 and lows[w] >= caps[w.capitalize()]}
     for (a, b), n in pairs.items():
         for w, o in ((a, b), (b, a)):
