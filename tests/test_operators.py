@@ -42,6 +42,19 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "src int, dst int")).count() == 0
 
 
+def test_components_of_all_lineitem_edges(spark, tmp_path):
+    from weftline import queries
+
+    rows = [(i % 7 if i < 40 else 100 + i, i % 11 if i < 40 else 200 + i // 2, float(i % 51)) for i in range(120)]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    least = {n: n for s_, p, _ in rows for n in (f"s{s_}", f"p{p}")}
+    for _ in least:  # brute force: the least name travels along every edge, whatever its quantity
+        for s_, p, _ in rows:
+            least[f"s{s_}"] = least[f"p{p}"] = min(least[f"s{s_}"], least[f"p{p}"])
+    got = {r.node: r.component for r in queries.queries()["connected_components_of_all_edges"](spark, str(tmp_path)).collect()}
+    assert got == least
+
+
 def test_user_filter_three_cases(spark):
     me = "1111"
     nodes = g.nodes_from(spark.createDataFrame([("res_public", None), ("res_private", me)], "name string, userid string"), "public__Resources", "name", "userid")
