@@ -53,6 +53,9 @@ def test_held_out_accuracy(trained):
         ("phone=+44 (0)7700 900 537", ["PHONE"]),
         ("ring 030/23125-470 or four one five, five five five, zero one eight nine", ["PHONE", "PHONE"]),
         ("tel. 1-415-555-0172 ext. 17", ["PHONE"]),
+        ("```python\n@app.tool\ndef f(): ...\n```", []),
+        ("030 1234567 / 0171 2345678 and SSN 912-24-4932 (212) 555-0134", ["PHONE", "PHONE", "ID_NUMBER", "PHONE"]),
+        ("mail besk {ät} example.org or besk ( at ) example punkt org", ["EMAIL", "EMAIL"]),
         ("NINO QQ 12 34 56 C and identity card 7997 1151 K", ["ID_NUMBER", "ID_NUMBER"]),
         ("tax id 987260952", ["ID_NUMBER"]),
         ("I live at 16 bis, rue des Trois-Lampes, 00495 Vaumont and Flat 5, 252 Ostwick Terrace, Velmouth VX2 1QT", ["ADDRESS", "ADDRESS"]),
@@ -117,6 +120,40 @@ def test_words_are_counted_over_all_contents(spark):
     tables, names = [("t", df, "updated_at")], spark.createDataFrame([("Mara", "given")], "name_part string, part_kind string")
     finder, _ = pii.train(tables, names, train_texts=10_000)
     assert finder.counts["Zorbel"] == 100 and "Oldword" not in finder.counts and finder.counts["Endword"] == 1
-    assert "Zorbel" in finder.skip
+    assert "Zorbel" in finder.common
     small, _ = pii.train(tables, names, train_texts=30)  # the share of texts counts, not which are in the sample
-    assert small.counts["Zorbel"] == 10 and small.counts["Nobody"] == 20 and "Zorbel" not in small.skip
+    assert small.counts["Zorbel"] == 10 and small.counts["Nobody"] == 20 and "Zorbel" not in small.common
+
+
+def test_reserved_ranges_and_fences_are_none(trained):
+    texts = ["Range 200-300-1470 is reserved for lookups.", "```python\n@app.tool\ndef f(): ...\n```\nnobody saw the stale copy."]
+    assert pii.decode(texts, *trained) == [[], []]
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("mail rook@mail.example.org now", "rook@mail.example.org"),
+        ("rook [at] post [dot] example [dot] org", "rook [at] post [dot] example [dot] org"),
+        ("(mobile: +44 (0)7700 900 351)", "+44 (0)7700 900 351"),
+        ("Flat 5, 67 Millrace Blvd, Ostermere Bay VX7 9QT. Next", "Flat 5, 67 Millrace Blvd, Ostermere Bay VX7 9QT"),
+        ("450 Quarrel Close\nVelmouth\nVX0 7QT", "450 Quarrel Close\nVelmouth\nVX0 7QT"),
+        ("Krummweg 73a\nMinutes were taken", "Krummweg 73a"),
+        ("passport no. X01239465\nA line", "X01239465"),
+    ],
+)
+def test_spans_are_whole(text, found):
+    assert [text[c.start : c.end] for c in pii.Finder(*KNOWN).structured(text)] == [found]
+
+
+def test_a_common_word_stays_a_candidate_with_its_odds():
+    finder = pii.Finder(*KNOWN, common={"Monday": -5.0})
+    assert [(c.word, c.prior) for c in finder.find("signed by Monday") if c.kind == "NAME"] == [("monday", -5.0)]
+
+
+def test_places_teach_patterns_that_do_not_say_what_they_are():
+    finder = pii.Finder([], [])
+    texts = [f"Range 200-300-{i} is" for i in range(1000, 1012)] + [f"ring 212-555-{i} now" for i in range(1000, 1008)] + [f"ring +44 20 7946 0{i} now" for i in range(100, 116)]
+    cands = [c for t in texts for c in finder.find(t) if c.kind == "PHONE"]
+    places = pii._Places(cands)
+    assert [places.label(c) for c in cands] == [-1] * 12 + [1] * 24

@@ -19,6 +19,7 @@ as the sample teaches it.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
@@ -39,19 +40,21 @@ ID_LABELS = r"ssn|social security(?: number| no\.?)?|national insurance(?: numbe
 STREETS = r"Street|St\b\.?|Road|Rd\b\.?|Lane|Ln\b\.?|Avenue|Ave\b\.?|Close|Crescent|Cres\b\.?|Terrace|Court|Ct\b\.?|Way|Drive|Dr\b\.?|Square|Sq\b\.?|Place|Pl\b\.?|Boulevard|Blvd\b\.?|Row|Mews|Hill|Gardens|Grove|Walk|Wharf|Quay|Parade|Rise|Path|Parkway|Highway"
 UP = "A-ZÀ-ÖØ-ÞĆČŁŃŚŠŹŻŽ"
 
-_DOT = r"(?:\.|\s?[\[({]\s?(?:dot|punkt|point|punto)\s?[\])}]\s?|\s(?:dot|punkt)\s)"
+#: an address never runs over the end of a line
+_S = r"[ \t\u00a0]"
+_DOT = rf"(?:\.|{_S}?[\[({{]{_S}?(?:dot|punkt|point|punto){_S}?[\])}}]{_S}?|{_S}(?:dot|punkt){_S})"
 _LABEL = r"[\w\-]+"
 EMAIL = re.compile(
-    rf"(?:mailto:)?(?<![\w.+\-@])[\w+\-](?:[\w.+\-]|%2[bBdDeE])*(?:(?:\s(?:dot|punkt)\s|\s?[\[({{]dot[\])}}]\s?)[\w+\-]+)*"
-    rf"(?:\s?@\s?|\s?[\[({{]\s?(?:at|AT|ät)\s?[\])}}]\s?|%40|&#64;|\s(?:at|AT)\s(?={_LABEL}(?:\s(?:dot|punkt)\s|\s?[\[({{]dot)))"
-    rf"{_LABEL}(?:{_DOT}{_LABEL})*?{_DOT}[A-Za-z]{{2,24}}(?![\w@]|-\w)",
+    rf"(?:mailto:)?(?<![\w.+\-@])[\w+\-](?:[\w.+\-]|%2[bBdDeE])*(?:(?:{_S}(?:dot|punkt){_S}|{_S}?[\[({{]dot[\])}}]{_S}?)[\w+\-]+)*"
+    rf"(?:{_S}?@{_S}?|{_S}?[\[({{]{_S}?(?:at|AT|ät){_S}?[\])}}]{_S}?|%40|&#64;|{_S}(?:at|AT){_S}(?={_LABEL}(?:{_S}(?:dot|punkt){_S}|{_S}?[\[({{]dot)))"
+    rf"{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[A-Za-z]{{2,24}}(?![\w@]|-\w)",
 )
 _DIGIT = "zero|oh|one|two|three|four|five|six|seven|eight|nine|null|eins|zwei|zwo|drei|vier|fünf|sechs|sieben|acht|neun|zéro|un|deux|trois|quatre|cinq|sept|huit|neuf|cero|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve"
 _EXT = r"(?:,?\s?(?:ext\.?|extension|x|Durchwahl|DW|poste|anexo|int\.?)\s?\d{1,6})?"
 PHONE = re.compile(
-    r"(?<![\w.+@/\-–%])(?<!\d[ ])"
+    r"(?<![\w.+@/\-–%])(?:(?<!\d[ ])|(?=\())"
     r"(?:"
-    rf"(?P<plus>\+\s?\d{{1,3}}(?:[ .\-–/]?\(0\))?(?:[ .\-–/]?\(?\d{{1,5}}\)?){{2,6}}){_EXT}"
+    rf"(?P<plus>\+\s?\d{{1,3}}(?:[ .\-–/]?\(0\))?(?:[ .\-–/]?(?:\(\d{{1,5}}\)|\d{{1,5}})){{2,6}}){_EXT}"
     rf"|(?P<zeros>00\d{{2}}(?:[ .\-–/]?\d{{1,8}}){{2,6}}){_EXT}"
     rf"|(?P<nanp>(?:1[ .\-–])?(?:\([2-9]\d\d\)\s?|[2-9]\d\d[.\-– ])[2-9]\d\d[.\-– ]\d{{4}}){_EXT}"
     rf"|(?P<plain>[2-9]\d\d[2-9]\d{{6}}){_EXT}"
@@ -64,7 +67,7 @@ DIGIT_WORDS = [w + " " for w in _DIGIT.split("|")]
 #: where numbers of some length are; the patterns below are tried only there
 DIGITS = re.compile(r"\d[\d ().\-–/]{3,}\d")
 ID_LABEL = re.compile(rf"(?<!\w)(?:{ID_LABELS})(?:\s?(?:number|no\.?|nr\.?|n[°º]|is|:|=|#))*\s?:?\s?$", re.I)
-ID_VALUE = re.compile(r"(?=(?:[^\d\n]{0,3}\d){5})[A-Z]{0,3}\s?\d[\d .\-/]*\d(?:\s?[A-Z]\d?(?![a-z\w]))?")
+ID_VALUE = re.compile(r"(?=(?:[^\d\n]{0,3}\d){5})[A-Z]{0,3} ?\d[\d .\-/]*\d(?: ?[A-Z]\d?(?![a-z\w]))?")
 ID_SHAPE = re.compile(
     r"(?P<ssn>(?<![\w.\-/+])\d{3}[-. ]\d{2}[-. ]\d{4}(?![\w\-/]|\.\d))"
     r"|(?P<nino>(?<![\w\-])[A-CEGHJ-PQR-TW-Z]{2}\s?\d\d\s?\d\d\s?\d\d\s?[A-D](?![\w\-]))"
@@ -72,9 +75,12 @@ ID_SHAPE = re.compile(
     r"|(?P<secu>(?<![\w.\-])[12] \d\d (?:0[1-9]|1[0-2]|[2-9]\d) \d[\dAB] \d{3} \d{3}(?: \d\d)?(?![\w\-]))"
     r"|(?P<letters>(?<![\w.\-/=])[A-Z]{1,2}\d{7,8}(?![\w\-]))"
 )
+NEW_NUMBER = re.compile(r"(?:[/(]|\D )\Z")
 BEFORE_DIGITS = re.compile(r"(?:(?<![\w\-])[A-Z]{1,3} ?)?$")
-_NAMEWORD = rf"(?:[{UP}][\w’'\-]+)"
-_TOWN = rf"(?:,?[ \n]\s?(?:Apt\.? ?\w+|Flat ?\w+|Unit ?\w+|\d{{1,2}}[º°] ?\w))?(?:(?:,\s?|\n)(?:\d{{4,5}} )?{_NAMEWORD}(?: {_NAMEWORD}){{0,2}})?(?:,?[ \n](?:[A-Z]{{1,2}}\d[\dA-Z]? \d[A-Z]{{2}}|[A-Z]{{2}} \d{{5}}|\d{{5}}))?"
+_NAMEWORD = rf"(?:[{UP}](?:[^\W\d_]|[’'\-])+(?!\w))"
+_POST = r"[A-Z]{1,2}\d[\dA-Z]? \d[A-Z]{2}|[A-Z]{2} \d{5}|\d{5}"
+#: flat, town, post code; a town on a line of its own is one only with its post code
+_TOWN = rf"(?:,?[ \n] ?(?:Apt\.? ?\w+|Flat ?\w+|Unit ?\w+|\d{{1,2}}[º°] ?\w))?(?:(?:,\s?(?:\d{{4,5}} )?|\n\d{{4,5}} |\n(?={_NAMEWORD}(?: {_NAMEWORD}){{0,2}},?[ \n](?:{_POST})(?!\w))){_NAMEWORD}(?: {_NAMEWORD}){{0,2}})?(?:,?[ \n](?:{_POST})(?!\w))?"
 _VIA_FR = r"rue|avenue|place|boulevard|chemin|quai|allée|impasse|cours|route|square|passage|av\.|bd\.?"
 #: house number first: tried where NUMBER_FIRST is
 NUMBER_FIRST = re.compile(rf"(?<![\w/.\-])\d{{1,5}}(?:[A-Z]?(?= [{UP}])|(?: (?:bis|ter|quater))?(?=,? (?:{_VIA_FR}) ))")
@@ -95,7 +101,8 @@ WORD = re.compile(rf"(?<![\w.@/#\\+])[{UP}][^\W\d_]*(?:[’'][{UP}][^\W\d_]*)?(?
 DECOY = re.compile(r"(?<![\w.\-/])\d[\d.\-–/]{5,}\d(?:[a-z]{1,2})?(?!\w)")
 LEFT = re.compile(r"(?:[^\W_]+|[^\w\s])(?=\s*$)")
 GAP = re.compile(rf"\.?(?:[ \-]|, |(?:[A-Za-zÀ-ÿ]\.|{PARTICLES}) )+", re.I)
-STRONG = {"nanp", "plus", "nat", "zeros", "words", "ssn", "nino", "card", "secu", "label", "en", "fr", "es", "de"}
+#: patterns that say what they are wherever they stand; the others ("nanp", "plain", "letters", "am") are read by their places
+STRONG = {"email", "plus", "nat", "zeros", "words", "ssn", "nino", "card", "secu", "label", "en", "fr", "es", "de"}
 
 
 @dataclass
@@ -105,6 +112,7 @@ class Candidate:
     kind: str
     pattern: str
     word: str
+    prior: float = 0.0
     features: list[str] = field(default_factory=list)
 
 
@@ -116,11 +124,11 @@ def _context(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
 
 
 class Finder:
-    """Candidates with their features. ``skip``: capitalised words too common to be names."""
+    """Candidates with their features. ``common``: log odds, as a name, of capitalised words that are mostly something else."""
 
-    def __init__(self, given: Iterable[str], family: Iterable[str], skip: frozenset[str] = frozenset(), ambiguous: frozenset[str] = frozenset(), counts: dict[str, int] | None = None):
+    def __init__(self, given: Iterable[str], family: Iterable[str], common: dict[str, float] | None = None, ambiguous: frozenset[str] = frozenset(), counts: dict[str, int] | None = None):
         self.given, self.family = {w.lower() for w in given}, {w.lower() for w in family}
-        self.lexicon, self.skip, self.ambiguous, self.counts = self.given | self.family, skip, ambiguous, counts or {}
+        self.lexicon, self.common, self.ambiguous, self.counts = self.given | self.family, common or {}, ambiguous, counts or {}
 
     def structured(self, text: str) -> list[Candidate]:
         out: list[Candidate] = []
@@ -137,19 +145,23 @@ class Finder:
             n = sum(c.isdigit() for c in d.group())
             if n < 5:
                 continue
+            begin = max(0, v - 2)
             at = next((x for x in (v, s) if ID_LABEL.search(text[max(0, x - 44) : x])), -1)
             if at >= 0 and (m := ID_VALUE.match(text, at)):
                 out.append(Candidate(at, m.end(), "ID_NUMBER", "label", m.group().lower()))
-                continue
-            for at in {v, s}:
-                if m := ID_SHAPE.match(text, at):
+                begin = m.end()
+            phones: list[tuple[int, int]] = []
+            if 7 <= n:  # several numbers may stand in one stretch
+                while begin < e and (m := PHONE.search(text, begin, e + 40)) and m.start() < e:
+                    if 9 <= sum(c.isdigit() for c in m.group()) <= 18:
+                        add(m, "PHONE")
+                        phones.append(m.span())
+                    begin = max(m.end(), begin + 1)
+            for m in ID_SHAPE.finditer(text, v, e + 8):
+                first = at < 0 and m.start() in (v, s)
+                later = m.start() > s and NEW_NUMBER.search(text, m.start() - 2, m.start()) and all(m.end() <= a or m.start() >= b for a, b in phones)
+                if first or later:
                     add(m, "ID_NUMBER")
-            if 7 <= n:
-                for at in (s - 2, s - 1, s):
-                    if at >= 0 and (at == s or text[at] in "+(") and (m := PHONE.match(text, at)):
-                        if 9 <= sum(c.isdigit() for c in m.group()) <= 18:
-                            add(m, "PHONE")
-                        break
         if sum(w in text for w in DIGIT_WORDS) >= 3:
             for m in PHONE_WORDS.finditer(text):
                 out.append(Candidate(*m.span(), "PHONE", "words", m.group().lower()))
@@ -182,26 +194,26 @@ class Finder:
 
     @staticmethod
     def _ats(text: str) -> list[int]:
-        """Where an at-sign, or what stands for one, is."""
+        """Where an at-sign, or what stands for one in EMAIL, is."""
         out = []
-        for sign in ("@", "%40", "&#64;", "(at)", "[at]", "{at}", "( at )", "[ at ]", "(ät)", "(AT)", "[AT]"):
+        for sign in ("@", "%40", "&#64;"):
             i = text.find(sign)
             while i >= 0:
                 out.append(i)
                 i = text.find(sign, i + 1)
-        if " dot " in text or "dot]" in text or "dot)" in text:
+        if BRACKET.search(text):
+            out += [m.start() for m in AT_BRACKET.finditer(text)]
+        if "dot" in text or "punkt" in text:
             out += [m.start() + 1 for m in AT_WORD.finditer(text)]
         return sorted(out)
 
     def names(self, text: str, taken: list[Candidate]) -> list[Candidate]:
-        skip, counts, lexicon = self.skip, self.counts, self.lexicon
+        common, counts, lexicon = self.common, self.counts, self.lexicon
         spans = []
         for m in WORD.finditer(text):
             w = m.group()
-            if w in skip:
-                continue
             s, e = m.span()
-            if e - s == 1 or w.lower() in TITLES:  # initials and titles belong to the word after them
+            if e - s == 1 or w.lower() in TITLES or (w in common and w.lower() in SMALL):  # they belong to the word after them
                 continue
             spans.append((s, e))
         # names in small letters: list words, and unknown words beside one or beside each other
@@ -229,7 +241,7 @@ class Finder:
                 k += 1
             if k < len(taken) and taken[k].start < e:
                 continue
-            out.append(Candidate(s, e, "NAME", "word", text[s:e].lower()))
+            out.append(Candidate(s, e, "NAME", "word", text[s:e].lower(), common.get(text[s:e], 0.0)))
         return out
 
     def find(self, text: str) -> list[Candidate]:
@@ -238,8 +250,15 @@ class Finder:
         all_.sort(key=lambda c: c.start)
         for c in all_:
             self.describe(text, c)
+        for a, b in zip(all_, all_[1:], strict=False):
+            if a.kind == b.kind == "NAME" and b.start - a.end <= 14 and self.listed(a.word) and joins(text, a, b):
+                if kind := self.listed(a.word):
+                    b.features.append(f"Nafter={kind}")
         return all_
 
+    def listed(self, w: str) -> str:
+        return "" if w in self.ambiguous else "given" if w in self.given else "family" if w in self.family else ""
+
     def describe(self, text: str, c: Candidate) -> None:
         left, right = _context(text, c.start, c.end)
         l1 = left[-1] if left else "^"
@@ -265,8 +284,11 @@ class Finder:
         c.features = f
 
 
+SMALL = frozenset(PARTICLES.split("|"))
 LOW = re.compile(r"(?<![\w.@/\-=+])[a-zà-öø-ÿćčłńśšźż]{3,}(?![\w@/=+]|\.\w)")
-AT_WORD = re.compile(r" at ", re.I)
+AT_WORD = re.compile(r"[ \t\u00a0](?:at|AT)[ \t\u00a0]")
+BRACKET = re.compile(r"[\[({][ \t\u00a0]?[aAä]")
+AT_BRACKET = re.compile(rf"[\[({{]{_S}?(?:at|AT|ät){_S}?[\])}}]")
 
 
 def joins(text: str, a: Candidate, b: Candidate) -> bool:
@@ -284,7 +306,7 @@ def edges_of(cands: list[Candidate], text: str) -> tuple[list[tuple[int, int]],
     near, far = [], []
     for i in range(len(cands) - 1):
         a, b = cands[i], cands[i + 1]
-        if a.kind == b.kind == "NAME" and b.start - a.end <= 14 and joins(text, a, b):
+        if a.kind == b.kind == "NAME" and b.start - a.end <= 14 and not a.prior and not b.prior and joins(text, a, b):
             near.append((i, i + 1))
     last: dict[tuple[str, str], int] = {}
     for i, c in enumerate(cands):
@@ -328,13 +350,49 @@ def propagate(h: np.ndarray, edges: np.ndarray, strength: np.ndarray, rounds: in
     return h + np.bincount(dst, weights=u, minlength=len(h))
 
 
+class _Places:
+    """Silver labels of structured candidates by the places they stand in.
+
+    A place (the one or two words before) where plain patterns of a type stand is a place for that type, and others there are
+    of the type too. Where a share p of a type has plain patterns, a place that has n others and no plain one has it by
+    chance with probability (1 - p)^n: below ``chance``, what stands there is something else. A value that keeps coming back
+    in one place belongs to nobody.
+    """
+
+    def __init__(self, cands: Iterable[Candidate], chance: float = 0.01, again: int = 8):
+        self.chance, self.again = chance, again
+        self.times: Counter = Counter()
+        self.plain: Counter = Counter()
+        self.kinds: Counter = Counter()
+        self.values: dict[tuple[str, str], set[str]] = defaultdict(set)
+        for c in cands:
+            self.kinds[c.kind, c.pattern in STRONG] += 1
+            for f in c.features[1:3]:
+                self.times[c.kind, f] += 1
+                self.plain[c.kind, f] += c.pattern in STRONG
+                if len(self.values[c.kind, f]) < 2:
+                    self.values[c.kind, f].add(c.word)
+
+    def label(self, c: Candidate) -> int:
+        keys = [(c.kind, f) for f in c.features[1:3]]
+        if any(self.times[k] >= self.again and len(self.values[k]) == 1 for k in keys):
+            return -1
+        if c.pattern in STRONG or any(self.plain[k] for k in keys):
+            return 1
+        share = self.kinds[c.kind, True] / (self.kinds[c.kind, True] + self.kinds[c.kind, False])
+        if any((1 - share) ** self.times[k] < self.chance for k in keys):
+            return -1
+        return int(share < 0.05 and c.pattern == "nanp")  # hardly a plain pattern to compare with
+
+
 def fit(texts: list[str], finder: Finder, rounds: int = 2, steps: int = 80, ridge: float = 2e-5) -> Model:
     """Weights by pseudo-likelihood on silver labels: +1, -1 or 0 (unknown)."""
     feats: list[list[str]] = []
     label: list[int] = []
     near: list[tuple[int, int]] = []
     far: list[tuple[int, int]] = []
-    found = [(t, c) for t in texts if (c := finder.find(t))]
+    # words that are mostly something else have their log odds already; they would only outnumber all others here
+    found = [(t, c) for t in texts if (c := [x for x in finder.find(t) if not x.prior])]
     # a frequent phrase that only ever has the one list word in it is no place for names
     once: Counter = Counter()
     words: dict[str, set] = defaultdict(set)
@@ -359,6 +417,7 @@ def fit(texts: list[str], finder: Finder, rounds: int = 2, steps: int = 80, ridg
                 leads[a.word] += 1
     fixed |= {w for w, n in leads.items() if n >= 2 and n * 4 >= total[w]}
     phrase = {k for f, ws in words.items() if len(ws) <= 2 for w in ws if once[k := f + w] >= 4}
+    places = _Places(c for _, cands in found for c in cands if c.kind != "NAME")
     for text, cands in found:
         base = len(feats)
         n, f = edges_of(cands, text)
@@ -369,7 +428,7 @@ def fit(texts: list[str], finder: Finder, rounds: int = 2, steps: int = 80, ridg
             beside[b].append(a)
         for i, c in enumerate(cands):
             if c.kind != "NAME":
-                y = 1 if c.pattern in STRONG or c.pattern == "email" else 0
+                y = places.label(c)
             elif not beside[i] and (c.features[6] + c.word in phrase or c.features[5] + c.word in phrase):
                 y = -1
             elif sure[i] or (c.word not in fixed and any(sure[j] for j in beside[i])):
@@ -446,7 +505,7 @@ def decode(texts: list[str | None], finder: Finder, model: Model) -> list[list[t
         cands = finder.find(text) if text and not text.isspace() else []
         base = len(h)
         if cands:
-            h += [model.unary(c.features) / 2 for c in cands]
+            h += [(model.unary(c.features) + c.prior) / 2 for c in cands]
             near, far = edges_of(cands, text)
             edges += [(a + base, b + base) for a, b in near] + [(a + base, b + base) for a, b in far]
             strength += [model.near] * len(near) + [model.far] * len(far)
@@ -530,14 +589,16 @@ def train(tables: list[tuple[str, DataFrame, str | None]], known_names: DataFram
     return prepare(texts, given, family, count_words(current_contents(tables), given, family, train_texts))
 
 
-def words_of(text: str, lexicon: set[str]) -> set[tuple[str, str, str]]:
-    """What a text is counted for, once each: capitalised and small words, words beside a list word, capitalised pairs."""
+def words_of(text: str, lexicon: set[str], given: set[str] = frozenset()) -> set[tuple[str, str, str]]:
+    """What a text is counted for, once each: capitalised and small words, words beside a list word or before a given name, capitalised pairs."""
     out, prev, end = set(), "", -9
     for m in WORD.finditer(text):
         w = m.group()
         out.add(("cap", w, ""))
         if m.start() - end == 1 and (w.lower() in lexicon) != (prev.lower() in lexicon):
             out.add(("beside", prev if w.lower() in lexicon else w, ""))
+            if w.lower() in given and text[end] == " ":
+                out.add(("lead", prev, ""))
         prev, end = w, m.end()
     out.update(("low", w, "") for w in LOW.findall(text))
     # pairs tell list words that are ordinary words as well
@@ -551,6 +612,7 @@ def count_words(contents: DataFrame, given: list[str], family: list[str], per: i
     What comes to the driver is bounded by the words of ``per`` texts: counts that round to 0 stay away.
     """
     lexicon = {w.lower() for w in given} | {w.lower() for w in family}
+    only_given = {w.lower() for w in given} - {w.lower() for w in family}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -561,7 +623,7 @@ def count_words(contents: DataFrame, given: list[str], family: list[str], per: i
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                total.update(words_of(t, lexicon))
+                total.update(words_of(t, lexicon, only_given))
                 total["texts", "", ""] += 1
             if len(total) > 500_000:
                 yield rows()
@@ -580,8 +642,9 @@ def prepare(texts: list[str], given: list[str], family: list[str], counted: Coun
     """Finder and model fitted on ``texts``; ``counted`` as of :func:`count_words`, else of these texts."""
     lexicon = {w.lower() for w in given} | {w.lower() for w in family}
     if counted is None:
-        counted = Counter(x for t in texts for x in words_of(t, lexicon))
-    kinds: dict[str, Counter] = {"cap": Counter(), "low": Counter(), "beside": Counter(), "texts": Counter()}
+        only_given = {w.lower() for w in given} - {w.lower() for w in family}
+        counted = Counter(x for t in texts for x in words_of(t, lexicon, only_given))
+    kinds: dict[str, Counter] = {"cap": Counter(), "low": Counter(), "beside": Counter(), "lead": Counter(), "texts": Counter()}
     pairs: Counter = Counter()
     for (kind, a, b), n in counted.items():
         if kind == "pair":
@@ -598,7 +661,10 @@ def prepare(texts: list[str], given: list[str], family: list[str], counted: Coun
     keep = {o for (a, b), n in pairs.items() for w, o in ((a, b), (b, a)) if w.lower() in ambiguous and o in common}
     words = dict(caps)
     words.update({w: n for w, n in lows.items() if n >= 2})
-    finder = Finder(given, family, frozenset(common - keep), frozenset(ambiguous), words)
+    odds = {w: math.log((beside[w] + 0.5) / (2 * max(caps[w], lows[w.lower()]) + 0.5)) for w in common - keep}
+    # each time a word stands before a given name speaks against it: another given name hardly ever does
+    odds |= {w: max(-6.0, -3.4 * n) for w, n in kinds["lead"].items() if w.lower() not in lexicon and n >= 2 and n * 4 >= caps[w]}
+    finder = Finder(given, family, odds, frozenset(ambiguous), words)
     return finder, fit(texts, finder)
 
 
