@@ -103,4 +103,7 @@ def test_a_third_of_all_rows_are_copies(spark):
     sims = np.round(unit @ unit.T, 9)
     for i, a in enumerate(ids):
         order = sorted((j for j in range(300) if j != i), key=lambda j: (-sims[i, j], ids[j]))[:10]
-        assert got[a] == {n + 1: (ids[j], round(float(sims[i, j]), 6) + 0.0) for n, j in enumerate(order)}, a
+        assert [got[a][n][0] for n in range(1, 11)] == [ids[j] for j in order], a
+        assert np.allclose([got[a][n][1] for n in range(1, 11)], sims[i, order], atol=2e-6)
+    close = similar_vectors(usable_vectors(df, "t", "v"), 10, least=0.99).collect()
+    assert {(r.id, r.rank, r.neighbour) for r in close} == {(a, n, x) for a, own in got.items() for n, (x, s) in own.items() if s >= 0.99}

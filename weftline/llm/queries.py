@@ -32,7 +32,7 @@ def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    near = similar.similar_vectors(_vectors(spark, d)).where("similarity >= 0.92")
+    near = similar.similar_vectors(_vectors(spark, d), least=0.92)
     return near.select("vec_table", F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 

@@ -294,10 +294,11 @@ def _batch(ddl: str, columns: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def similar_vectors(vectors: DataFrame, k: int = 10, tasks: int | None = None, part_bytes: int = 64 << 20) -> DataFrame:
+def similar_vectors(vectors: DataFrame, k: int = 10, least: float | None = None, tasks: int | None = None, part_bytes: int = 64 << 20) -> DataFrame:
     """The ``k`` nearest other vectors of each vector by cosine: (vec_table, model, id, neighbour, similarity, rank).
 
-    ``vectors`` as from :func:`usable_vectors` (a union of several tables is fine). ``tasks``: about how many there are, by
+    ``vectors`` as from :func:`usable_vectors` (a union of several tables is fine). ``least``: of the k nearest only those at
+    least so similar are wanted; the lists are made in full and cut before ids are put in. ``tasks``: about how many there are, by
     default one and a half a core; fewer shuffle less. ``part_bytes`` bounds what a task holds, see the module text.
     """
     spark = vectors.sparkSession
@@ -364,6 +365,8 @@ def similar_vectors(vectors: DataFrame, k: int = 10, tasks: int | None = None, p
     sent = sent.withColumn("task", F.explode("tasks")).drop("tasks").repartitionById(total, F.col("task"))
     lists = sent.select("grp", "part", "num", "dim", "mat").mapInArrow(run, LISTS)
     merged = lists.groupBy("grp", "part", "slice").applyInArrow(merge, MERGED)
+    if least is not None:
+        merged = merged.where(F.col("similarity") >= least)
     names = placed.select("vec_table", "model", "pid", "id", "h", "local").mapInArrow(name, NAMES)
     copies = cut(names.groupBy("grp", "h").agg(F.count("*").alias("c")).where("c > 1").select("grp", "h"))
     if copies.isEmpty():
