@@ -92,3 +92,23 @@ def test_messages_without_ids_are_linked(spark):
     assert got == {"m000": "m000", "m001": "m000", "m002": "m000", "m003": "m003", "m006": "s"}
     full = c.conversations(spark.createDataFrame(rows, SCHEMA)).orderBy("conversation", "position").collect()
     assert [(r.conversation, r.position, r.speaker) for r in full] == [("m000", 0, "user"), ("m000", 1, "assistant"), ("m000", 2, "tool")]
+
+
+def test_names_of_functions_and_strangers_link_nothing(spark):
+    named = '[{"function": {"name": "search"}}]'
+    rows = _rows(
+        (None, 1, "assistant", "a", named, None), (None, 2, "assistant", "b", named, None), ("s9", 3, "assistant", "c", named, None),
+        (None, 4, "user", "> said by somebody else", None, None), ("s9", 1, "user", "said by somebody else", None, None),
+        (None, 2, "user", "> said only later on", None, None), ("s9", 9, "user", "said only later on", None, None),
+    )
+    rows[3] = (*rows[3][:8], "stranger", *rows[3][9:])
+    got = {r.id: r.conversation for r in c.assigned(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {"m000": "m000", "m001": "m001", "m002": "s9", "m003": "m003", "m004": "s9", "m005": "m005", "m006": "s9"}
+
+
+def test_ids_in_mixed_case_and_rows_without_an_id(spark):
+    rows = _rows(("s", 1, "user", "hi", None, None), ("s", 2, "ai", "yo", None, None))
+    rows = [("X1", *rows[0][1:]), ("x1", *rows[0][1:])] + [(None, *rows[1][1:])] * 2 + [(None, "t", *rows[0][2:])]
+    m = c.messages(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.session_id, r.turn) for r in m) == [("s", 1), ("s", 2), ("t", 1)]
+    assert {tuple(r) for r in c.left_out(spark.createDataFrame(rows, SCHEMA)).collect()} == {("t", "missing_reply")}

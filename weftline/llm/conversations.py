@@ -1,14 +1,19 @@
 """Conversations from message rows: who belongs together, in which order, and which conversations to leave out.
 
 Messages with a session id form one conversation each. Messages without one are linked by the calls they make or
-answer and by the texts they quote; their conversations are the connected components of those links, found with
-alternating large-star and small-star joins. Every conversation is then checked as a fold over its ordered messages:
-rows are range partitioned by (conversation, time), each partition gives one summary for each conversation, and the
-summaries are merged in order. No conversation is ever gathered in one task, however long it is.
+answer (by the id of the call, never by the name of a function) and by the texts they quote, both among the messages of one user;
+a quote belongs to the first earlier message that said the text. Their conversations are the connected components of
+those links, found with alternating large-star and small-star joins; a component that links to sessions joins the least of
+them. Every conversation is then checked as a fold over its ordered messages: rows are range partitioned by
+(conversation, time), each partition gives one summary for each conversation, and the summaries are merged in order.
+No conversation is ever gathered in one task, however long it is.
 
-Edge cases: repeated deliveries of an id count once (latest updated_at); null roles and unknown ones are nobody's
+One scan makes narrow rows (ids, flags, keys and hashes); contents are moved once, for the conversations that are kept.
+
+Edge cases: ids compare in lower case; repeated deliveries of an id count once (latest updated_at); a row without an id is a
+message of its own, known by a hash of what it holds, so that it counts once too; null roles and unknown ones are nobody's
 turn; null times come first; equal times are ordered system, user, assistant, tool, then id; null content is not
-visible; an empty table gives empty results.
+visible; messages without a session id and without links are conversations of one; an empty table gives empty results.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 from weftline.operators.components import connected_components
 from weftline.operators.latest import latest_rows
 from weftline.operators.numbering import number_rows
-from weftline.session import parallelism
+from weftline.session import cut, parallelism
 
 # Spellings of the four speakers.
 SPEAKERS = {
@@ -69,8 +74,8 @@ def _first(d: dict, *names: str) -> str | None:
     return None
 
 
-def call_keys(text: str | None) -> tuple[bool, list[str]]:
-    """(valid JSON, keys of the calls): the id of a call, or its function name if it has none."""
+def call_keys(text: str | None) -> tuple[bool, list[tuple[str, bool]]]:
+    """(valid JSON, keys of the calls): the id of a call, or its function name if it has none; and whether it is an id."""
     if text is None:
         return True, []
     try:
@@ -85,8 +90,8 @@ def call_keys(text: str | None) -> tuple[bool, list[str]]:
         if not isinstance(call, dict) or not call:
             continue
         inner = next((x for n in ("function", "functionCall", "function_call") if isinstance(x := _opened(call.get(n)), dict)), {})
-        key = _first(call, "id", "tool_call_id", "call_id") or _first(inner, "id") or _first(inner, "name") or _first(call, "name", "function")
-        keys.append(key or "")
+        ident = _first(call, "id", "tool_call_id", "call_id") or _first(inner, "id")
+        keys.append((ident or _first(inner, "name") or _first(call, "name", "function") or "", ident is not None))
     return True, keys
 
 
@@ -106,33 +111,56 @@ def result_keys(text: str | None) -> list[str]:
     return [k or "" for k in keys]
 
 
-def messages(raw: DataFrame) -> DataFrame:
-    """Current messages with speaker, visibility and the keys of their calls and results."""
-    keep = ["session_id", "role", "content", "tool_calls", "tool_eval_data", "created_at", "userid"]
-    m = latest_rows(raw.select("id", "updated_at", *keep), ["id"], ["updated_at"], keep)
-    m = m.select(F.lower("id").alias("id"), F.lower("session_id").alias("session_id"), speaker(F.col("role")).alias("speaker"), "content", "tool_calls", "tool_eval_data", "created_at", "userid", visible(F.col("content")).alias("visible"))
-    return m
+#: a call (with an id or only a name) or a result
+_KEYS = "array<struct<key:string,is_call:boolean,is_id:boolean>>"
+_PASSED = ["id", "version", "h", "session_id", "userid", "turn", "visible", "created_at", "said", "quotes"]
 
 
-def tool_keys(m: DataFrame, conversation: str = "session_id") -> DataFrame:
-    """(conversation, id, key, is_call, is_result, bad) for the messages that carry calls or results."""
-    rows = m.where((F.col("tool_calls").isNotNull() & ~F.trim("tool_calls").isin("null", "[]")) | F.col("tool_eval_data").isNotNull())
+def _identified(raw: DataFrame) -> DataFrame:
+    """Rows with ``id`` in small letters (a hash where there is none), ``version`` and ``h``, the hash of what the row holds."""
+    held = F.xxhash64("session_id", "role", "content", "tool_calls", "tool_eval_data", "created_at", "userid")
+    return raw.withColumn("h", held).withColumn("id", F.coalesce(F.lower("id"), F.concat(F.lit("no id "), F.hex("h")))).withColumn("version", F.col("updated_at"))
+
+
+def _plain(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(c), r"[\s\p{Z}]+", " "))
+
+
+def messages(raw: DataFrame) -> DataFrame:
+    """Narrow current messages: (id, h, session_id, userid, turn, visible, created_at, said, quotes, keys, bad).
+
+    ``said`` and ``quotes`` are hashes of the whole text and of the quoted texts (of 8 characters or more), ``keys`` the calls and results.
+    """
+    rows = _identified(raw)
+    turn = _ordered_rank(speaker(F.col("role"))).cast("int")
+    quoted = F.regexp_extract_all("content", F.lit(r"(?:^|\n)((?:[ \t]*>[^\n]*(?:\n|$))+)"), F.lit(1))
+    quoted = F.transform(quoted, lambda q: _plain(F.regexp_replace(q, r"(?m)^[ \t]*>+[ \t]?", "")))
+    quotes = F.when(F.col("content").rlike(r"(?m)^[ \t]*>"), F.transform(F.filter(quoted, lambda q: F.length(q) >= 8), lambda q: F.xxhash64(q)))
+    said = F.when(F.length("content") >= 8, F.xxhash64(_plain(F.col("content"))))
+    narrow = rows.select("id", "version", "h", F.lower("session_id").alias("session_id"), "userid", turn.alias("turn"), visible(F.col("content")).alias("visible"), "created_at", said.alias("said"), quotes.alias("quotes"), "tool_calls", "tool_eval_data")
+    schema = narrow.select(*_PASSED, F.lit(None).cast(_KEYS).alias("keys"), F.lit(False).alias("bad")).schema
+    kind = pa.list_(pa.struct([("key", pa.string()), ("is_call", pa.bool_()), ("is_id", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(_PASSED)
         for b in batches:
-            take, key, call, bad = [], [], [], []
-            for i, (c, r) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                ok, calls = call_keys(c)
-                results = result_keys(r)
-                n = len(calls) + len(results) + (not ok)
-                take += [i] * n
-                key += calls + results + [None] * (not ok)
-                call += [True] * len(calls) + [False] * len(results) + [None] * (not ok)
-                bad += [False] * (len(calls) + len(results)) + [True] * (not ok)
-            idx = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(idx), b.column(1).take(idx), pa.array(key, pa.string()), pa.array(call, pa.bool_()), pa.array(bad, pa.bool_())], names=["conversation", "id", "key", "is_call", "bad"])
+            keys, bad = [], []
+            for c, r in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True):
+                ok, calls = call_keys(c) if c is not None else (True, [])
+                found = [{"key": k, "is_call": True, "is_id": i} for k, i in calls] + [{"key": k, "is_call": False, "is_id": True} for k in result_keys(r)]
+                keys.append(found or None)
+                bad.append(not ok)
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(keys, kind), pa.array(bad, pa.bool_())], names=[*_PASSED, "keys", "bad"])
 
-    return rows.select(F.col(conversation).alias("conversation"), "id", "tool_calls", "tool_eval_data").mapInArrow(run, "conversation string, id string, key string, is_call boolean, bad boolean")
+    keyed = narrow.mapInArrow(run, schema)
+    return latest_rows(keyed, ["id"], ["version", "h"])
+
+
+def tool_keys(m: DataFrame, conversation: str = "session_id") -> DataFrame:
+    """(conversation, id, userid, key, is_call, is_id, bad) for the messages that carry calls or results."""
+    rows = m.where(F.col("keys").isNotNull() | F.col("bad"))
+    rows = rows.select(F.col(conversation).alias("conversation"), "id", "userid", "bad", F.explode_outer("keys").alias("k"))
+    return rows.select("conversation", "id", "userid", "k.key", "k.is_call", "k.is_id", "bad")
 
 
 class _Fold:
@@ -197,7 +225,7 @@ def _ordered_rank(col: Column) -> Column:
 def judge(m: DataFrame, conversation: str = "session_id") -> DataFrame:
     """(conversation, reason) for every conversation; reason is null for those to keep."""
     spark = m.sparkSession
-    narrow = m.where(F.col(conversation).isNotNull()).select(F.col(conversation).alias("conversation"), _ordered_rank(F.col("speaker")).cast("int").alias("turn"), "visible", "created_at", "id")
+    narrow = m.where(F.col(conversation).isNotNull()).select(F.col(conversation).alias("conversation"), "turn", "visible", "created_at", "id")
     placed = narrow.repartitionByRange(parallelism(spark), "conversation", "created_at", "turn", "id").sortWithinPartitions("conversation", "created_at", "turn", "id")
     parts = placed.select("conversation", "turn", "visible", F.spark_partition_id().cast("long").alias("seq")).mapInArrow(_summaries, _SUMMARY)
     folded = parts.groupBy("conversation").agg(F.array_sort(F.collect_list(F.struct("seq", "first", "seen", "lead", "user", "missing", "open"))).alias("parts"))
@@ -212,43 +240,61 @@ def judge(m: DataFrame, conversation: str = "session_id") -> DataFrame:
     ).select("conversation", "s.*")
     keys = tool_keys(m.where(F.col(conversation).isNotNull()), conversation)
     matched = keys.groupBy("conversation", "key").agg(F.max("is_call").alias("c"), F.max(~F.col("is_call")).alias("r"), F.max("bad").alias("bad"))
-    wrong = matched.where("bad or key = '' or not coalesce(c, false) or not coalesce(r, false)").select(F.col("conversation").alias("_c")).distinct().withColumn("wrong", F.lit(True))
+    wrong = matched.where("bad or key = '' or (key is not null and not (coalesce(c, false) and coalesce(r, false)))").select(F.col("conversation").alias("_c")).distinct().withColumn("wrong", F.lit(True))
     j = folded.join(wrong, F.col("conversation") == F.col("_c"), "left")
     reason = F.when(~F.col("seen"), "empty").when((F.col("first") != 1) | F.col("first").isNull() | F.coalesce("wrong", F.lit(False)), "broken").when(F.col("missing") | F.col("open"), "missing_reply")
     return j.select("conversation", reason.alias("reason"))
 
 
 def linked_conversations(m: DataFrame) -> DataFrame:
-    """(id, conversation) of the messages without a session id, by links over calls, results and quotes.
+    """(id, conversation, adopted: by a session) of the messages without a session id, by links over calls, results and quotes of their user.
 
     A component that links to messages of a session joins the least such session; otherwise its least message id
     names it. Messages without any link are conversations of one.
     """
+    who = F.coalesce("userid", F.lit("")).alias("who")
     lost = m.where(F.col("session_id").isNull())
-    keys = tool_keys(m, "session_id").where("key is not null and key != ''").select("id", F.col("conversation").alias("session"), F.concat(F.lit("c:"), "key").alias("link"))
-    text = lambda c: F.regexp_replace(F.lower(c), r"[\s\p{Z}]+", " ")
-    quoted = m.where(F.col("content").rlike(r"(?m)^\s*>")).select("id", F.col("session_id").alias("session"), F.explode(F.expr(r"regexp_extract_all(content, '(?:^|\\n)((?:[ \\t]*>[^\\n]*(?:\\n|$))+)', 1)")).alias("q"))
-    quoted = quoted.select("id", "session", F.trim(text(F.regexp_replace("q", r"(?m)^[ \t]*>+[ \t]?", ""))).alias("q")).where("length(q) >= 8")
-    hashes = quoted.select("id", "session", F.concat(F.lit("q:"), F.hex(F.xxhash64("q")), F.length("q")).alias("link"))
-    wanted = hashes.select("link").distinct()
-    said = m.where(F.length("content") >= 8).select("id", F.col("session_id").alias("session"), F.trim(text(F.col("content"))).alias("q"))
-    said = said.select("id", "session", F.concat(F.lit("q:"), F.hex(F.xxhash64("q")), F.length("q")).alias("link")).join(wanted, "link", "left_semi").select("id", "session", "link")
-    links = keys.unionByName(hashes).unionByName(said)
-    hub = links.where("session is null").groupBy("link").agg(F.min("id").alias("hub"))
-    edges = links.where("session is null").join(hub, "link").select(F.col("id").alias("src"), F.col("hub").alias("dst"))
-    comp = connected_components(edges)
-    sessions = links.where("session is not null").groupBy("link").agg(F.min("session").alias("session"))
-    adopt = links.where("session is null").select("id", "link").join(sessions, "link").join(comp.select(F.col("node").alias("id"), "component"), "id", "left").groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("session").alias("adopted"))
-    lone = lost.select("id").join(comp.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    return lone.join(adopt, "component", "left").select("id", F.coalesce("adopted", "component").alias("conversation"))
+    # calls and results by the id of the call: all of a call's messages link to the least of them without a session
+    keys = tool_keys(m).where("is_id and key != ''").select("id", F.col("conversation").alias("session"), who, "key").distinct()
+    hubs = keys.where("session is null").groupBy("who", "key").agg(F.min("id").alias("hub"))
+    by_call = keys.join(hubs, ["who", "key"]).select("id", "session", "hub")
+    # a quote belongs to the first message that said the text; one of the two must be without a session
+    quotes = m.where("quotes is not null").select("id", "session_id", who, "created_at", F.explode("quotes").alias("said"))
+    first = m.where("said is not null").select("id", "session_id", who, "created_at", "said").join(quotes.select("who", "said").distinct(), ["who", "said"], "left_semi")
+    first = first.groupBy("who", "said").agg(F.min_by(F.struct("id", "session_id", "created_at"), F.struct("created_at", "id")).alias("f"))
+    pairs = quotes.join(first, ["who", "said"]).where("f.created_at < created_at and f.id != id and (session_id is null or f.session_id is null)")
+    from_quote = pairs.where("session_id is null").select(F.col("f.id").alias("id"), F.col("f.session_id").alias("session"), F.col("id").alias("hub"))
+    to_quote = pairs.where("session_id is not null").select("id", F.col("session_id").alias("session"), F.col("f.id").alias("hub"))
+    links = cut(by_call.unionByName(from_quote).unionByName(to_quote))  # hubs have no session
+    comp = connected_components(links.where("session is null").select(F.col("id").alias("src"), F.col("hub").alias("dst")))
+    comp = comp.select(F.col("node").alias("id"), "component")
+    adopt = links.where("session is not null").select(F.col("hub").alias("id"), "session").join(comp, "id", "left").groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("session").alias("adopted"))
+    lone = lost.select("id").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return lone.join(adopt, "component", "left").select("id", F.coalesce("adopted", "component").alias("conversation"), F.col("adopted").isNotNull().alias("adopted"))
+
+
+def assigned(raw: DataFrame) -> DataFrame:
+    """Narrow current messages with their ``conversation``."""
+    m = cut(messages(raw))
+    lost = m.where(F.col("session_id").isNull()).join(linked_conversations(m), "id")
+    return m.where(F.col("session_id").isNotNull()).withColumn("conversation", F.col("session_id")).withColumn("adopted", F.lit(True)).unionByName(lost)
+
+
+def left_out(raw: DataFrame) -> DataFrame:
+    """(session_id, reason) of the sessions to leave out."""
+    m = assigned(raw)
+    sessions = judge(m, "conversation").where("reason is not null")
+    lone = m.where("not adopted").select("conversation").distinct()  # these are no sessions
+    return sessions.join(lone, "conversation", "left_anti").select(F.col("conversation").alias("session_id"), "reason")
 
 
 def conversations(raw: DataFrame) -> DataFrame:
     """Ordered messages of the conversations worth keeping: (conversation, position, id, speaker, content, tool_calls, created_at)."""
-    m = messages(raw)
-    by_link = linked_conversations(m)
-    m = m.join(by_link, "id", "left").withColumn("conversation", F.coalesce("session_id", "conversation"))
+    m = assigned(raw)
     good = judge(m, "conversation").where("reason is null").select("conversation")
-    kept = m.join(good, "conversation", "left_semi").withColumn("turn", _ordered_rank(F.col("speaker")))
-    narrow = number_rows(kept.select("conversation", "created_at", "turn", "id"), ["conversation"], ["created_at", "turn", "id"], out="position").select("id", "position")
-    return kept.join(narrow, "id").select("conversation", "position", "id", "speaker", "content", "tool_calls", "created_at")
+    kept = m.join(good, "conversation", "left_semi").select("conversation", "created_at", "turn", "id", "h")
+    placed = number_rows(kept, ["conversation"], ["created_at", "turn", "id"], out="position")
+    wide = _identified(raw).select(F.col("id").alias("_i"), F.col("h").alias("_h"), "content", "tool_calls")
+    both = placed.join(wide, (F.col("id") == F.col("_i")) & (F.col("h") == F.col("_h"))).dropDuplicates(["id"])
+    who = F.element_at(F.array(*[F.lit(x) for x in TURN]), F.col("turn") + 1)
+    return both.select("conversation", "position", "id", F.when(F.col("turn").isNotNull(), who).alias("speaker"), "content", "tool_calls", "created_at")

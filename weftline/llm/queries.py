@@ -40,8 +40,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    j = conv.judge(conv.messages(table(spark, d, "ai_responses")))
-    return j.where("reason is not null").select(F.col("conversation").alias("session_id"), "reason")
+    return conv.left_out(table(spark, d, "ai_responses"))
 
 
 def p2_conversations(spark: SparkSession, d: str) -> DataFrame:
