@@ -46,8 +46,11 @@ def test_found_and_restored(spark, docs):
     want = {i for i, r in truth.items() if r[3]}
     assert len(found & want) / len(want) > 0.97
     assert len(found - want) <= 2
-    ciphers = g.learn_ciphers(g.cipher_statistics(docs, bad, lm), lm)
-    back = {r.doc_id: r.restored for r in g.restore(docs, bad, lm, ciphers).collect()}
+    texts = docs.select("doc_id", "text").join(bad, "doc_id")
+    ciphers = g.learn_ciphers(g.cipher_statistics(texts, lm), lm)
+    back = {r.doc_id: r.restored for r in g.restore(texts, lm, ciphers).collect()}
+    whole = {r.doc_id: r.restored for r in g.restored_documents(docs).collect()}
+    assert whole == back
     good = sum(back[i] == truth[i][4] for i in found & want if truth[i][4])
     assert good / sum(1 for i in found & want if truth[i][4]) > 0.6
 
@@ -87,7 +90,7 @@ def test_unlisted_swap_is_learned_from_nothing(spark):
     assert len(ids & set(bad)) >= 57 and len(ids - set(bad)) <= 1
     learned = {r.symbol: r.letter for r in ciphers.collect() if r.source == "s1"}
     assert learned["ι"] == "é" and all(ord(c) < 128 or s.encode("cp1253").decode("cp1252") == c for s, c in learned.items())
-    back = {r.doc_id: r.restored for r in g.restore(docs, found, lm, ciphers).collect()}
+    back = {r.doc_id: r.restored for r in g.restore(docs.select("doc_id", "text").join(found, "doc_id"), lm, ciphers).collect()}
     assert sum("é" in back[i] for i in ids & set(bad) if "é" in bad[i]) > 50
 
 
@@ -101,3 +104,22 @@ def test_swap_far_down_by_gain_wins_by_its_weight(spark):
     rows = [row(i, [(swap, 30.0, 0, 1)]) for i in range(400)] + [row(999, found)]
     out = g.decide(spark.createDataFrame(rows, g.SCAN), spark.createDataFrame([("s", 401)], "source string, n_docs long"))
     assert {r.doc_id: r.swap for r in out.collect()}[999] == swap
+
+
+@pytest.mark.parametrize(("kind", "share"), [("cp1252 as cp1253", 0.8), ("utf_8 as cp1253", 0.7), ("permutation", 0.8)])
+def test_unknown_swaps_are_learned_and_undone(kind, share):
+    rnd = random.Random(11)
+    words = sorted({w for t in ("fr", "de", "es") for w in CLEAN[t].replace(". ", " ").split() if w.isalpha()})
+    lm = g.Language(dict(g._pairs([" ".join(rnd.sample(words, 40)) for _ in range(600)])))
+    letters = g._letters(lm)
+    perm = dict(zip(map(ord, letters), rnd.sample([chr(c) for c in [*range(0x531, 0x557), *range(0x10D0, 0x10F0)]], len(letters)), strict=True))
+    garble = {"cp1252 as cp1253": lambda t: t.encode("cp1252").decode("cp1253", "ignore"), "utf_8 as cp1253": lambda t: t.encode().decode("cp1253", "ignore"), "permutation": lambda t: t.translate(perm)}[kind]
+    texts = [" ".join(rnd.sample(words, 40)) for _ in range(60)]
+    odds = [g.Decoder(lm).scan(garble(t))[2] for t in texts]
+    counts = g.Counter(u for odd in odds for u in g.odd_units(odd, lm))
+    table = g.learn_unlisted(g.pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["symbol", "before", "after", "n"]), lm, letters)
+    cipher = {s: c for s, c, _ in table}
+    assert sum(g.unlisted_gain(odd, cipher, lm) > 12 for odd in odds) >= 0.9 * len(texts)
+    want = g.Counter(c for t in texts for c in t if c > "\x7f")
+    back = g.Counter(c for t in texts for c in g.decipher_with(garble(t), cipher) if c > "\x7f")
+    assert sum((want & back).values()) >= share * sum(want.values())

@@ -12,7 +12,8 @@ between them.
 3. *Expectation maximisation per source.* Weights of the swaps in a source and the letter that each symbol stands for
    are learned in turns: expected letters from the bigrams and the current table, then the table from the expected letters,
    starting from the code pages where a swap is listed. For a source's documents that no listed swap wins, the letters of
-   the symbols in their surprising runs are learned from a flat start; these make up one unlisted swap of the source.
+   the symbols in their surprising runs are learned from a flat start; these make up one unlisted swap of the source. A symbol
+   is one character, or two where one letter became two, whichever explain more.
 4. *Decision and repair.* Documents whose gain with the weight of the swap in their source is high enough are garbled;
    the winning passages are rewritten with the learned table by ``str.translate``.
 
@@ -364,8 +365,9 @@ def language_of(texts: DataFrame, text: str = "text") -> Language:
     return Language({(x, y): int(n) for x, y, n in zip(rows.x, rows.y, rows.n, strict=True)})
 
 
-def scan_documents(docs: DataFrame, language: Language) -> DataFrame:
-    """(doc_id, source, sure, swaps, gains, odd) of the documents with any doubt about them; all others are proper text."""
+def scan_documents(docs: DataFrame, language: Language, texts: bool = False) -> DataFrame:
+    """(doc_id, source, sure, swaps, gains, odd), with ``texts`` also text, of the documents with any doubt about them; all others are proper text."""
+    schema = SCAN + ", text string" * texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = decoder_for(language)
@@ -382,9 +384,9 @@ def scan_documents(docs: DataFrame, language: Language) -> DataFrame:
                     gain.append([f[1] for f in found])
                     odds.append(odd)
             idx = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(idx), b.column(1).take(idx), pa.array(sure, pa.bool_()), pa.array(swap, pa.list_(pa.int32())), pa.array(gain, pa.list_(pa.float64())), pa.array(odds, pa.list_(pa.string()))], names=[x.split()[0] for x in SCAN.split(", ")])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(idx), b.column(1).take(idx), pa.array(sure, pa.bool_()), pa.array(swap, pa.list_(pa.int32())), pa.array(gain, pa.list_(pa.float64())), pa.array(odds, pa.list_(pa.string())), *[b.column(2).take(idx)] * texts], names=[x.split()[0] for x in schema.split(", ")])
 
-    return docs.select("doc_id", "source", "text").mapInArrow(run, SCAN)
+    return docs.select("doc_id", "source", "text").mapInArrow(run, schema)
 
 
 def _weighted(flat: DataFrame, best: DataFrame, sizes: DataFrame, total: int, prior: float = 50.0) -> DataFrame:
@@ -420,14 +422,35 @@ def decide(scanned: DataFrame, sizes: DataFrame, rounds: int = 2, least: float =
 
 def garbled_documents(docs: DataFrame, language: Language | None = None) -> DataFrame:
     """The garbled documents of (doc_id, source, text): (doc_id, source, sure, swap, odds); swap is null where only lost characters show."""
+    docs = place(docs)
     return garbled_with_ciphers(docs, language or language_of(docs))[0]
 
 
-def garbled_with_ciphers(docs: DataFrame, language: Language) -> tuple[DataFrame, DataFrame]:
+def place(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, text) in twice as many parts as there are cores, once, before the passes over it, which are bound by CPU."""
+    from weftline.session import cut, parallelism
+
+    return cut(docs.select("doc_id", "source", "text").repartition(2 * parallelism(docs.sparkSession), "doc_id"))
+
+
+def restored_documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, restored, lost) of the garbled documents. All texts are read twice; the garbled ones are kept from the second time."""
+    from weftline.session import cut
+
+    docs = place(docs)
+    lm = language_of(docs)
+    scanned = cut(scan_documents(docs, lm, texts=True))
+    found, unlisted = garbled_with_ciphers(docs, lm, scanned)
+    bad = cut(scanned.select("doc_id", "text").join(found, "doc_id"))
+    ciphers = cut(learn_ciphers(cipher_statistics(bad, lm), lm).unionByName(unlisted))
+    return restore(bad, lm, ciphers)
+
+
+def garbled_with_ciphers(docs: DataFrame, language: Language, scanned: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The garbled documents, and (source, swap, symbol, letter, share) of the unlisted swaps found among them."""
     from weftline.session import cut
 
-    scanned = cut(scan_documents(docs, language))
+    scanned = cut(scan_documents(docs, language)) if scanned is None else scanned.drop("text")
     sizes = cut(docs.groupBy("source").agg(F.count("*").alias("n_docs")))
     listed = cut(decide(scanned, sizes))
     rest = scanned.join(listed.where("swap is not null").select("doc_id"), "doc_id", "left_anti").where(F.size("odd") > 0)
@@ -449,7 +472,7 @@ def unlisted_ciphers(rest: DataFrame, language: Language) -> DataFrame:
         total: Counter = Counter()
         for b in batches:
             for source, odd in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                total.update({(source, x[i], language.fold(x[i - 1]), language.fold(x[i + 1])) for x in odd for i in range(1, len(x) - 1)})  # once a document
+                total.update({(source, *u) for u in odd_units(odd, language)})  # once a document
         rows = list(total)
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
         yield pa.RecordBatch.from_arrays([*(pa.array(list(c), pa.string()) for c in cols), pa.array([total[r] for r in rows], pa.int64())], names=["source", "symbol", "before", "after", "n"])
@@ -457,7 +480,38 @@ def unlisted_ciphers(rest: DataFrame, language: Language) -> DataFrame:
     seen = rest.select("source", "odd").mapInArrow(run, "source string, symbol string, before string, after string, n long")
     seen = seen.groupBy("source", "symbol", "before", "after").agg(F.sum("n").alias("n"))
     letters = _letters(language)
-    return seen.groupBy("source").applyInPandas(lambda key, pdf: pd.DataFrame([(key[0], UNLISTED, *x) for x in learn_from_nothing(pdf, language, letters)], columns=["source", "swap", "symbol", "letter", "share"]), "source string, swap int, symbol string, letter string, share double")
+    return seen.groupBy("source").applyInPandas(lambda key, pdf: pd.DataFrame([(key[0], UNLISTED, *x) for x in learn_unlisted(pdf, language, letters)], columns=["source", "swap", "symbol", "letter", "share"]), "source string, swap int, symbol string, letter string, share double")
+
+
+def odd_units(odd: list[str], language: Language) -> set[tuple[str, str, str]]:
+    """(symbol, before, after) of surprising runs, each symbol alone and, in runs of even length, two by two: one letter may have become two."""
+    out = set()
+    for x in odd:
+        for size in (1, 2):
+            if (len(x) - 2) % size == 0:
+                at = [language.fold(x[0]), *(x[i : i + size] for i in range(1, len(x) - 1, size)), language.fold(x[-1])]
+                if size == 1:
+                    at[1:-1] = [language.fold(c) for c in at[1:-1]]
+                out |= {(x[1 + (i - 1) * size : 1 + i * size], at[i - 1], at[i + 1]) for i in range(1, len(at) - 1)}
+    return out
+
+
+def learn_unlisted(pdf: pd.DataFrame, language: Language, letters: list[str]) -> list[tuple[str, str, float]]:
+    """Symbols of one character or of two, whichever explain more of what surprises."""
+    found = []
+    for size in (1, 2):
+        part = pdf[pdf.symbol.str.len() == size]
+        table = learn_from_nothing(part, language, letters) if len(part) else []
+        known = {x[0] for x in table}
+        found.append((int(part.n[part.symbol.isin(known)].sum()) * size, table))
+    return max(found, key=lambda x: x[0])[1]
+
+
+def decipher_with(text: str, cipher: dict[str, str]) -> str:
+    """By ``translate`` where every symbol is one character."""
+    if all(len(k) == 1 for k in cipher):
+        return text.translate({ord(k): v for k, v in cipher.items()})
+    return re.sub("|".join(map(re.escape, sorted(cipher, key=len, reverse=True))), lambda m: cipher[m.group()], text)
 
 
 def _letters(language: Language) -> list[str]:
@@ -524,7 +578,7 @@ def decide_unlisted(scanned: DataFrame, ciphers: DataFrame, sizes: DataFrame, la
         for b in batches:
             keep, gains = [], []
             for i, (odd, cipher) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                gain = unlisted_gain(odd, {ord(k): v for k, v in cipher}, language)
+                gain = unlisted_gain(odd, dict(cipher), language)
                 if gain > 1:
                     keep.append(i)
                     gains.append(gain)
@@ -538,11 +592,11 @@ def decide_unlisted(scanned: DataFrame, ciphers: DataFrame, sizes: DataFrame, la
     return weighed.select("doc_id", "source", (F.col("gain") + F.log(F.col("k") / (F.col("n_docs") + prior))).alias("odds")).where(F.col("odds") > least)
 
 
-def unlisted_gain(odd: list[str], cipher: dict[int, str], language: Language) -> float:
+def unlisted_gain(odd: list[str], cipher: dict[str, str], language: Language) -> float:
     """Of the best passage of surprising runs; what the cipher leaves as it is counts against it."""
     best = now = 0.0
     for x in odd:
-        said = x[1:-1].translate(cipher)
+        said = decipher_with(x[1:-1], cipher)
         gain = -4.0 if said == x[1:-1] else language.score(x[0], said, x[-1])[0] - language.score(x[0], x[1:-1], x[-1])[0]
         now = max(now, 0.0) + gain
         best = max(best, now)
@@ -573,9 +627,9 @@ def units_of(run: str, said: str, w: str, t: str) -> list[tuple[str, str]] | Non
     return None
 
 
-def cipher_statistics(docs: DataFrame, garbled: DataFrame, language: Language) -> DataFrame:
-    """How often each symbol of a swap stands between which neighbours, by source."""
-    joined = docs.select("doc_id", "source", "text").join(garbled.where(F.col("swap") < UNLISTED).select("doc_id", "swap"), "doc_id").select("source", "swap", "text")
+def cipher_statistics(garbled: DataFrame, language: Language) -> DataFrame:
+    """How often each symbol of a swap stands between which neighbours, by source, in (source, swap, text)."""
+    joined = garbled.where(F.col("swap") < UNLISTED).select("source", "swap", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = decoder_for(language)
@@ -640,11 +694,10 @@ def learn_ciphers(statistics: DataFrame, language: Language, rounds: int = 6, fa
     return statistics.groupBy("source", "swap").applyInPandas(learn, "source string, swap int, symbol string, letter string, share double")
 
 
-def restore(docs: DataFrame, garbled: DataFrame, language: Language, ciphers: DataFrame) -> DataFrame:
-    """(doc_id, restored, lost): the text with the garbled runs replaced; ``lost`` counts characters that cannot be had back."""
+def restore(garbled: DataFrame, language: Language, ciphers: DataFrame) -> DataFrame:
+    """(doc_id, restored, lost) of (doc_id, source, swap, text): the text with the garbled runs replaced; ``lost`` counts characters that cannot be had back."""
     tables = ciphers.groupBy("source", "swap").agg(F.map_from_entries(F.collect_list(F.struct("symbol", "letter"))).alias("cipher")).select(F.col("source").alias("_s"), F.col("swap").alias("_w"), "cipher")
-    joined = docs.select("doc_id", "text").join(garbled.select("doc_id", "source", "swap"), "doc_id")
-    joined = joined.join(tables, F.col("source").eqNullSafe(F.col("_s")) & (F.col("swap") == F.col("_w")), "left").select("doc_id", "text", "swap", "cipher")
+    joined = garbled.join(tables, F.col("source").eqNullSafe(F.col("_s")) & (F.col("swap") == F.col("_w")), "left").select("doc_id", "text", "swap", "cipher")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = decoder_for(language)
@@ -661,8 +714,6 @@ def restore(docs: DataFrame, garbled: DataFrame, language: Language, ciphers: Da
 
 def rewrite(text: str, swap: int, cipher: dict[str, str], decoder: Decoder) -> str:
     """The text with the runs that gain by the swap deciphered: by the learned table where it covers a run, else by the code page."""
-    single = {ord(k): v for k, v in cipher.items() if len(k) == 1}
-    several = re.compile("|".join(map(re.escape, sorted(cipher, key=len, reverse=True)))) if any(len(k) > 1 for k in cipher) else None
     shown, out, at = unquoted(text), [], 0
     for m in RUN.finditer(shown):
         a, e = m.span()
@@ -671,7 +722,7 @@ def rewrite(text: str, swap: int, cipher: dict[str, str], decoder: Decoder) -> s
         if g is None:
             continue
         if swap == UNLISTED:
-            out.append(text[at:a] + m.group().translate(single))
+            out.append(text[at:a] + decipher_with(m.group(), cipher))
             at = e
             continue
         w, t = SWAPS[swap]
@@ -685,7 +736,7 @@ def rewrite(text: str, swap: int, cipher: dict[str, str], decoder: Decoder) -> s
         else:
             said = decoder.decipher(m.group(), w, t)
             if said is not None and units_of(m.group(), said, w, t):
-                said = several.sub(lambda x: cipher[x.group()], m.group()) if several else m.group().translate(single)
+                said = decipher_with(m.group(), cipher)
                 again = decoder.decipher(said, w, t) if t == "utf_8" and said else None
                 said = again if again and again != said and "�" not in again else said
         if said is not None:

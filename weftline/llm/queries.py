@@ -9,13 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import conversations as conv
 from weftline.llm import garbled, mix, pack, pii, similar, split, tokens
-from weftline.session import cut, parallelism, table
-
-
-def _spread(df: DataFrame) -> DataFrame:
-    """Rows of a scan over all cores, where the files alone would make fewer tasks than there are cores."""
-    n = parallelism(df.sparkSession)
-    return df if df.rdd.getNumPartitions() >= n // 2 else df.repartition(n)
+from weftline.session import cut, table
 
 
 # 1 -- similar vectors
@@ -94,7 +88,7 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
-    sizes = tokens.with_tokens(_spread(table(spark, d, "documents").select("doc_id", "text")), "text", ["doc_id"], out="size")
+    sizes = tokens.with_tokens(table(spark, d, "documents").select("doc_id", "text"), "text", ["doc_id"], out="size")
     return pack.pack_items(sizes, table(spark, d, "pack_capacities"))
 
 
@@ -113,7 +107,7 @@ def _mixed(spark: SparkSession, d: str) -> DataFrame:
     targets = table(spark, d, "mix_targets")
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", "source", "text")
     wanted = docs.join(F.broadcast(targets.select("source")), "source", "left_semi")  # a fixed table of a few sources
-    keyed = _spread(wanted).withColumn("key", F.sha2("text", 256))
+    keyed = wanted.withColumn("key", F.sha2("text", 256))
     return mix.mix_sources(tokens.with_tokens(keyed, "text", ["doc_id", "source", "key"]), targets)
 
 
@@ -129,17 +123,11 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    docs = _spread(table(spark, d, "documents").select("doc_id", "source", "text"))
-    return garbled.garbled_documents(docs).select("doc_id")
+    return garbled.garbled_documents(table(spark, d, "documents")).select("doc_id")
 
 
 def p8_restored(spark: SparkSession, d: str) -> DataFrame:
-    docs = _spread(table(spark, d, "documents").select("doc_id", "source", "text"))
-    lm = garbled.language_of(docs)
-    found, unlisted = garbled.garbled_with_ciphers(docs, lm)
-    bad = cut(found)
-    ciphers = cut(garbled.learn_ciphers(garbled.cipher_statistics(docs, bad, lm), lm).unionByName(unlisted))
-    return garbled.restore(docs, bad, lm, ciphers)
+    return garbled.restored_documents(table(spark, d, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
