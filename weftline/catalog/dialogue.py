@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,17 +12,18 @@ from weftline.catalog import frames
 from weftline.catalog.registry import current, query
 from weftline.operators import entities
 from weftline.operators import messages as m
-from weftline.session import table
+from weftline.session import shared_folder, table
 from weftline.streaming import streams
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
     t = frames.current(spark, d, "ai_responses", ["session_id", "role", "content", "tool_calls", "tool_eval_data", "created_at", "model_name", "status", "function_stack"])
-    role = F.lower(F.trim("role"))
-    return t.where("session_id is not null").withColumn("session_id", F.lower("session_id")).withColumn("role", role)
+    return t.where("session_id is not null").withColumn("session_id", F.lower("session_id")).withColumn("role", m.speaker(F.col("role")))
 
 
-_T = "(select id, lower(session_id) as session_id, lower(trim(role)) as role, content, tool_calls, tool_eval_data, created_at, model_name, status, function_stack from " + current("ai_responses") + " where session_id is not null)"
+_WHO = "case when regexp_replace(lower(trim(role)), '[ -]+', '_', 'g') in ({}) then '{}'"
+_ROLE = " ".join(_WHO.format(", ".join(f"'{x}'" for x in names), who).replace("case ", "", 1) for who, names in m.SPEAKERS.items())
+_T = f"(select id, lower(session_id) as session_id, case {_ROLE} end as role, content, tool_calls, tool_eval_data, created_at, model_name, status, function_stack from " + current("ai_responses") + " where session_id is not null)"
 
 
 @query(f"""with u as (select distinct session_id, 0 as rank, 'system' as role, 'be brief' as content from {_T} union all select session_id, 1, role, content from {_T} where role = 'user'
@@ -184,12 +185,7 @@ def s4_stream_content(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A folder for stream checkpoints: under the cluster's shared folder where one is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base and "://" in base and not base.startswith("file:"):
-        return f"{base}/streams-{os.urandom(6).hex()}"
-    root = base[5:].lstrip("/") if base and base.startswith("file:") else None
-    return tempfile.mkdtemp(prefix="streams-", dir=f"/{root}" if root else None)
+    return shared_folder(spark, "streams")
 
 
 def _memory(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -206,7 +202,7 @@ def s2_fold_calls_stream(spark: SparkSession, d: str) -> DataFrame:
     folder = f"{_scratch(spark)}/deltas"
     last = _deltas(spark, d).groupBy("stream_id").agg(F.max("seq").alias("seq")).withColumn("end", F.lit(True))
     marked = _deltas(spark, d).join(last, ["stream_id", "seq"], "left").withColumn("finish_reason", F.when(F.col("end"), "tool_calls")).drop("end")
-    marked.coalesce(1).write.parquet(folder)
+    marked.write.parquet(folder)
     stream = spark.readStream.schema(marked.schema).parquet(folder).select("stream_id", "seq", "call_index", "id", "name", "arguments", "finish_reason")
     return _memory(spark, streams.fold_call_stream(stream))
 
@@ -240,7 +236,10 @@ def s1_incremental_index(spark: SparkSession, d: str) -> DataFrame:
     out = f"{base}/index"
 
     def target() -> DataFrame | None:
-        return spark.read.parquet(out) if os.path.isdir(out) else None
+        try:
+            return spark.read.parquet(out)
+        except AnalysisException:  # nothing is written yet
+            return None
 
     for i in range(2):
         q = streams.incremental_index(streams.event_stream(spark, d), target, lambda df: df.write.mode("append").parquet(out), "event_id", lambda df: df.select("event_id", "event_type"), f"{base}/c{i}")

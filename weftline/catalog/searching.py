@@ -60,7 +60,7 @@ _CURRENT_RES = current("resources")
 where summary is not null and summary <> '' and not exists (select 1 from resource_embeddings e where e.source_record_id = r.id and e.column_name = 'summary' and e.embedding_name = 'quill-embed-64')""")
 def c8_pending_embeddings(spark: SparkSession, d: str) -> DataFrame:
     r = frames.current(spark, d, "resources", ["summary"])
-    return s.pending_embeddings(r, table(spark, d, "resource_embeddings"), "id", "summary", "quill-embed-64")
+    return s.pending_embeddings(r, table(spark, d, "resource_embeddings"), "id", "summary", "quill-embed-64").drop("bid")
 
 
 @query()
@@ -205,6 +205,96 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     found = docs.where(F.contains(F.lower("text"), F.lit("tide")) & F.col("n_chars").isNotNull()).select(F.col("doc_id").alias("id"), "n_chars").orderBy(F.desc("n_chars"), "id").limit(10)
     sql = found.select("id", pos(F.desc("n_chars"), "id"))
     near = s.vector_search(table(spark, d, "embeddings"), _query_vector(spark, d), "vec_id", "embedding", 1.35, 30)
-    near = near.join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi").select("id", "vdistance", pos("vdistance", "id"))
+    near = docs.select(F.col("doc_id").alias("id")).join(F.broadcast(near), "id").select("id", "vdistance", pos("vdistance", "id"))  # at most 30 rows
     top = s.merge_search_results(sql, near, None, max_results=10)
-    return top.join(docs.select(F.col("doc_id").alias("id"), F.col("source").alias("doc_source")), "id").select("id", "doc_source", F.round("score", 6).alias("score"), "source", "rank")
+    return docs.select(F.col("doc_id").alias("id"), F.col("source").alias("doc_source")).join(F.broadcast(top), "id").select("id", "doc_source", F.round("score", 6).alias("score"), "source", "rank")
+
+
+# ---------------------------------------------------------------- searches with three legs
+
+_QR = "(select embedding_vector::double[] from resource_embeddings where embedding_name = 'quill-embed-64' and len(embedding_vector) = 64 and not list_contains(list_transform(embedding_vector, lambda v: v is null or isnan(v)), true) and list_contains(list_transform(embedding_vector, lambda v: v <> 0), true) order by id limit 1)"
+_OK = "embedding_name = 'quill-embed-64' and len({0}) = 64 and len(list_filter({0}, lambda v: v is null or isnan(v))) = 0"
+
+
+def _question(spark: SparkSession, d: str) -> list[float]:
+    e = table(spark, d, "resource_embeddings")
+    v = F.col("embedding_vector")
+    ok = (F.col("embedding_name") == "quill-embed-64") & (F.size(v) == 64) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)) & F.exists(v, lambda x: x != 0)
+    return e.where(ok).orderBy("id").select("embedding_vector").first()[0]
+
+
+def _usable(spark: SparkSession, d: str, name: str, vector: str) -> DataFrame:
+    v = F.col(vector)
+    ok = (F.col("embedding_name") == "quill-embed-64") & (F.size(v) == 64) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x))
+    return table(spark, d, name).where(ok).select("source_record_id", vector)
+
+
+def _legs(spark: SparkSession, d: str) -> DataFrame:
+    r = frames.current(spark, d, "resources", ["content", "graph_paths", "userid", "ordinal"])
+    return s.three_legs(r, _usable(spark, d, "resource_embeddings", "embedding_vector"), _question(spark, d), "source_record_id", "embedding_vector", F.contains(F.lower("content"), F.lit("tide")), ["-ordinal"], threshold=1.2, limit=8)
+
+
+def _memory_legs(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "memory_requests").where("id is not null").dropDuplicates(["id"])
+    return s.three_legs(m, _usable(spark, d, "embedding_records", "embedding"), _question(spark, d), "source_record_id", "embedding", F.contains(F.lower("content"), F.lit("tide")), [], paths=None, threshold=1.2, limit=8)
+
+
+_LEGS_SQL = f"""r as (select id, content, graph_paths, ordinal from {_CURRENT_RES} x),
+rv as (select source_record_id as id, min(list_distance(embedding_vector::double[], {_QR})) as vdistance from resource_embeddings where {_OK.format('embedding_vector')} group by 1 having min(list_distance(embedding_vector::double[], {_QR})) <= 1.2 order by 2, 1 limit 8),
+vec as (select 'vector' as leg, r.id, row_number() over (order by vdistance, r.id) as pos, vdistance, content from rv join r on r.id = rv.id),
+sq as (select 'sql' as leg, id, row_number() over (order by ordinal desc nulls last, id) as pos, null::double as vdistance, content from (select * from r where lower(content) like '%tide%' order by ordinal desc nulls last, id limit 8)),
+con as (select distinct id, concept from (select id, unnest(string_split(p, '/')) as concept from (select id, unnest(graph_paths) as p from r)) where concept <> ''),
+gn as (select id, count(distinct concept) as n from con where concept in (select concept from con where id in (select id from vec)) and id not in (select id from rv) group by 1 order by 2 desc, 1 limit 8),
+gr as (select 'graph' as leg, r.id, row_number() over (order by n desc, r.id) as pos, null::double as vdistance, content from gn join r on r.id = gn.id),
+rl as (select * from vec union all select * from sq union all select * from gr)"""
+_MEM_SQL = f"""m as (select * from (select *, row_number() over (partition by id order by content) as rn from memory_requests where id is not null) where rn = 1),
+mv as (select source_record_id as id, min(list_distance(embedding::double[], {_QR})) as vdistance from embedding_records where {_OK.format('embedding')} group by 1 having min(list_distance(embedding::double[], {_QR})) <= 1.2 order by 2, 1 limit 8),
+ml as (select 'vector' as leg, m.id, row_number() over (order by vdistance, m.id) as pos, vdistance, content from mv join m on m.id = mv.id
+union all select 'sql', id, row_number() over (order by id), null, content from (select * from m where lower(content) like '%tide%' order by id limit 8))"""
+_MERGED_SQL = "select id, round(sum(case leg when 'sql' then 0.4 when 'vector' then 0.4 * (1 - vdistance) else 0.2 * 0.9 end), 9) as score, max(content) as content, string_agg(leg, ',' order by leg) as source from {} where pos <= 10 group by 1"
+
+
+@query(f"with {_LEGS_SQL} select leg, id, pos, round(vdistance, 6) as vdistance, length(content) as size from rl")
+def d5_three_legs(spark: SparkSession, d: str) -> DataFrame:
+    return _legs(spark, d).select("leg", "id", "pos", F.round("vdistance", 6).alias("vdistance"), F.length("content").cast("long").alias("size"))
+
+
+@query(f"""with {_LEGS_SQL}, n as (select count(*) filter (leg = 'sql') as s, count(*) filter (leg = 'vector') as v, count(*) filter (leg = 'graph') as g, min(vdistance) as b from rl)
+select 'tide' as query_text, 0.8::double as confidence, s as n_relational, v as n_vector, g as n_graph, round(least(case when s > 0 then 0.8 * 0.4 + least(s, 5) * 0.02 else 0 end + case when v > 0 then (1 - b) * 0.4 + least(v, 5) * 0.02 else 0 end + case when g > 0 then 0.2 else 0 end, 1.0)::double, 6) as hybrid_score from n""")
+def d5_entity_search(spark: SparkSession, d: str) -> DataFrame:
+    a = s.entity_search(_legs(spark, d), "tide", 0.8)
+    n = lambda c: F.json_array_length(c).cast("long")
+    return a.select("query_text", "confidence", n("relational_result").alias("n_relational"), n("vector_result").alias("n_vector"), n("graph_result").alias("n_graph"), F.round("hybrid_score", 6).alias("hybrid_score"))
+
+
+@query(f"with {_LEGS_SQL}, b as ({_MERGED_SQL.format('rl')}), t as (select * from b order by score desc, id limit 10) select id, round(score, 6) as score, content, source, rank() over (order by score desc) as rank from t")
+def d4_merged_legs(spark: SparkSession, d: str) -> DataFrame:
+    return s.merged_legs(_legs(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query(f"""with {_LEGS_SQL}, {_MEM_SQL}, b as (select 'resources' as entity_type, * from (select * from ({_MERGED_SQL.format('rl')}) order by score desc, id limit 10) union all select 'memory_requests', * from (select * from ({_MERGED_SQL.format('ml')}) order by score desc, id limit 10)),
+t as (select * from b order by score desc, entity_type, id limit 10),
+st as (select 'resources' as e, count(*) filter (leg = 'sql') as s, count(*) filter (leg = 'vector') as v, count(*) filter (leg = 'graph') as g from rl union all select 'memory_requests', count(*) filter (leg = 'sql'), count(*) filter (leg = 'vector'), 0 from ml)
+select entity_type, id, round(score, 6) as score, content, row_number() over (order by score desc, entity_type, id) as rank, '{{"sql":' || s || ',"vector":' || v || ',"graph":' || g || '}}' as stats from t join st on e = entity_type""")
+def d6_search_entities(spark: SparkSession, d: str) -> DataFrame:
+    found = s.search_entities({"resources": _legs(spark, d), "memory_requests": _memory_legs(spark, d)}, stats=True)
+    return found.withColumn("score", F.round("score", 6))
+
+
+_SIM_RES = f"greatest({similarity_sql('name', repr('seed catalogues'))}, {similarity_sql('uri', repr('seed catalogues'))})"
+
+
+@query(f"""with r as (select * from {_CURRENT_RES} x), sem as (select r.uri, r.userid, 1 - min(1 - list_cosine_similarity(embedding_vector::double[], {_QR})) as ss from r join resource_embeddings e on e.source_record_id = r.id where {_OK.format('embedding_vector')} group by 1, 2),
+f as (select uri, userid, max(case when {_SIM_RES} > 0.3 then 0.7 + 0.3 * {_SIM_RES} else 0.0 end) as fs from r where instr(lower(name), 'seed catalogues') > 0 or instr(lower(uri), 'seed catalogues') > 0 or {_SIM_RES} > 0.3 group by 1, 2),
+c as (select coalesce(sem.uri, f.uri) as uri, coalesce(sem.userid, f.userid) as userid, greatest(coalesce(ss, 0), coalesce(fs, 0)) as score from sem full join f on sem.uri = f.uri and sem.userid = f.userid),
+g as (select uri, userid, max(name) as resource_name, count(*) as chunk_count, sum(length(content))::bigint as total_chunk_size, avg(length(content)) as avg_chunk_size, max(resource_timestamp) as max_date, coalesce(string_agg(distinct category, ',' order by category), '') as categories from r group by 1, 2),
+b as (select uri, userid, max(score) as score from c group by 1, 2)
+select g.uri, resource_name, chunk_count, total_chunk_size, round(avg_chunk_size, 4) as avg_chunk_size, max_date, categories, round(score, 6) as semantic_score, g.userid as user_id from g join b on g.uri = b.uri and g.userid = b.userid order by score desc, max_date desc nulls last, g.uri, g.userid limit 20""")
+def d7_resource_report(spark: SparkSession, d: str) -> DataFrame:
+    r = frames.current(spark, d, "resources", ["uri", "name", "userid", "content", "category", "resource_timestamp"])
+    e = _usable(spark, d, "resource_embeddings", "embedding_vector").join(r.select(F.col("id").alias("source_record_id"), "uri", "userid"), "source_record_id")
+    sem = s.group_similarity(e, _question(spark, d), "embedding_vector", ["uri", "userid"])
+    both = r.select("uri", "userid", F.explode(F.array("name", "uri")).alias("label"))
+    scores = s.resource_search(sem, s.filename_match(both, "label", "seed catalogues"))
+    out = s.resource_report(r, scores)
+    return out.withColumn("avg_chunk_size", F.round("avg_chunk_size", 4)).withColumn("categories", F.array_join("categories", ",")).withColumn("semantic_score", F.round("semantic_score", 6))

@@ -79,9 +79,9 @@ def fixed_chunks(df: DataFrame, text: str, size: int) -> DataFrame:
     return some.withColumn("ordinal", (F.col("_s") / size).cast("long")).withColumn("chunk", F.expr(f"substring({text}, _s + 1, {size})")).drop("_s")
 
 
-def word_chunks(text: str, size: int = 1000, overlap_chars: int = 200, compat: bool = False) -> list[str]:
-    """Overlapping chunks that end at the last space of the window. ``compat`` repeats the known rule that loses text after long runs."""
-    out, start, n, total = [], 0, len(text), 0
+def word_chunks(text: str, size: int = 1000, overlap_chars: int = 200) -> list[str]:
+    """Overlapping chunks that end at the last space of the window."""
+    out, start, n = [], 0, len(text)
     while start < n:
         end = min(start + size, n)
         if end < n and (at := text.rfind(" ", start, end)) > start:
@@ -89,13 +89,9 @@ def word_chunks(text: str, size: int = 1000, overlap_chars: int = 200, compat: b
         piece = text[start:end].strip()
         if piece:
             out.append(piece)
-        total += len(piece)
         if end >= n:
             break
-        nxt = end - overlap_chars
-        if compat:
-            nxt = nxt if nxt > total - (len(out) * overlap_chars) and nxt > start else max(end, total)
-        start = max(nxt, start + 1)
+        start = max(end - overlap_chars, start + 1)
     return out
 
 

@@ -30,7 +30,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """(node, component): the component is the least node in it. Nodes without an edge are not listed.
 
     Each round is two aggregations and joins; hubs are handled as minima and joins (AQE splits hot keys), never as
-    lists. Rounds are cut with checkpoint(). Null ends and loops are ignored; an empty edge list gives no rows.
+    lists. Rounds are cut with checkpoint(). Null ends and loops are ignored; an empty edge list gives no rows;
+    more than ``max_rounds`` rounds are an error.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     loops = e.where("u = v").select(F.col("u").alias("node")).distinct()
@@ -44,6 +45,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if now == seen:
             break
         seen = now
+    else:
+        if seen[0]:
+            raise RuntimeError(f"components are not finished after {max_rounds} rounds")
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = stars.select("component").distinct().select(F.col("component").alias("node"), "component")
     found = stars.unionByName(roots)

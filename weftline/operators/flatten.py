@@ -1,6 +1,6 @@
 """Deeply nested JSON columns as flat tables with parent links, by array kernels instead of row parsing.
 
-A whole Arrow batch of JSON texts is one byte buffer. Quotes, brackets, commas and colons are found in that buffer
+The JSON texts of an Arrow batch, up to SLICE_BYTES at once, are one byte buffer. Quotes, brackets, commas and colons are found in that buffer
 with vector operations; nesting depth is a running sum, the parent of every token is found level by level from the
 sorted positions of the opening brackets (list offsets), and paths and keys travel down the levels with ``take``.
 No text is parsed row by row. Text that is not valid JSON yields nothing. A string value that is itself JSON of an
@@ -31,6 +31,9 @@ _SPACE[list(b" \t\n\r")] = True
 _NUMBER = r"^(?:true|false|null|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)$"
 _ESCAPES = r'^(?s:(?:[^\\]|\\["\\/bfnrt]|\\u[0-9a-fA-F]{4})*)$'
 
+#: bytes of texts that one buffer holds
+SLICE_BYTES = 8 << 20
+
 NODE_SCHEMA = "src_field string, record_id string, node_path string, parent_path string, node_key string, node_index long, depth int"
 MEMBER_SCHEMA = "src_field string, record_id string, node_path string, member_path string, kind string, value string"
 
@@ -289,6 +292,16 @@ def flatten_batch(texts: pa.Array, members: bool = False) -> dict[str, pa.Array]
     return {c: pa.chunked_array([pa.array(p[c]).cast(kinds.get(c, pa.string())) for p in parts], kinds.get(c, pa.string())).combine_chunks() for c in names}
 
 
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """[from, to) of stretches of at most ``most`` bytes; a longer text is one by itself. The kernels need some 40 bytes a byte."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto, lo = np.concatenate([[0], np.cumsum(size)]), 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + most, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
 def _flatten(df: DataFrame, record: str, fields: Sequence[tuple[str, str]], members: bool, schema: str) -> DataFrame:
     columns = [c for c, _ in fields]
     names = dict(fields)
@@ -299,17 +312,15 @@ def _flatten(df: DataFrame, record: str, fields: Sequence[tuple[str, str]], memb
             ids = b.column(0)
             for i, c in enumerate(columns):
                 texts = b.column(i + 1)
-                if not len(texts):
-                    continue
-                f = flatten_batch(texts, members)
-                n = len(f["row"])
-                field = pa.array(np.full(n, names[c]), pa.string())
-                rec = ids.take(f["row"])
-                if members:
-                    out = [field, rec, f["owner"], f["path"], f["kind"], f["value"]]
-                else:
-                    out = [field, rec, f["path"], f["owner"], f["key"], f["index"], f["depth"]]
-                yield pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in out], names=[x.split()[0] for x in schema.split(", ")])
+                for lo, hi in slices(texts):
+                    f = flatten_batch(texts.slice(lo, hi - lo), members)
+                    field = pa.array(np.full(len(f["row"]), names[c]), pa.string())
+                    rec = ids.slice(lo, hi - lo).take(f["row"])
+                    if members:
+                        out = [field, rec, f["owner"], f["path"], f["kind"], f["value"]]
+                    else:
+                        out = [field, rec, f["path"], f["owner"], f["key"], f["index"], f["depth"]]
+                    yield pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in out], names=[x.split()[0] for x in schema.split(", ")])
 
     return narrow.mapInArrow(run, schema)
 

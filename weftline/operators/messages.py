@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,87 @@ ANTHROPIC = "struct<content:array<struct<type:string,text:string,id:string,name:
 GOOGLE = "struct<candidates:array<struct<content:struct<parts:array<struct<text:string,functionCall:struct<name:string,args:string>>>>,finishReason:string>>,usageMetadata:struct<promptTokenCount:bigint,candidatesTokenCount:bigint>>"
 
 
+# Spellings of the four speakers.
+SPEAKERS = {
+    "user": ["user", "human", "customer", "client", "end_user", "enduser", "person", "guest"],
+    "assistant": ["assistant", "ai", "bot", "model", "agent", "chatbot", "gpt", "llm", "assistant_message"],
+    "system": ["system", "developer", "sys", "instruction", "instructions"],
+    "tool": ["tool", "function", "tool_result", "tool_response", "function_call_output", "function_response", "ipython", "observation"],
+}
+
+
+def speaker(col: Column) -> Column:
+    """One of user, assistant, system, tool; null for anything else."""
+    names = F.create_map(*[F.lit(x) for who, names in SPEAKERS.items() for n in names for x in (n, who)])
+    return names[F.regexp_replace(F.lower(F.trim(col)), r"[\s-]+", "_")]
+
+
+def opened(value: object) -> object:
+    """The value a string of JSON stands for, again and again."""
+    while isinstance(value, str):
+        try:
+            inner = json.loads(value.strip())
+        except ValueError:
+            break
+        if not isinstance(inner, (dict, list, str)):
+            break
+        value = inner
+    return value
+
+
+def _listed(text: str | None) -> list[dict]:
+    """The objects of a JSON object or array; none where the text is not JSON."""
+    if text is None:
+        return []
+    try:
+        value = opened(json.loads(text.strip()))
+    except ValueError:
+        return []
+    return [x for v in (value if isinstance(value, list) else [value]) if isinstance(x := opened(v), dict) and x]
+
+
+def canonical_calls(text: str | None) -> str | None:
+    """Calls of any provider's shape as JSON of the canonical one; the name serves where there is no id."""
+    out = []
+    for c in _listed(text):
+        inner = next((x for k in ("function", "functionCall", "function_call") if isinstance(x := opened(c.get(k)), dict)), c)
+        name, args = inner.get("name") or c.get("name"), next((inner[k] for k in ("arguments", "args", "input", "parameters") if k in inner), {})
+        if name:
+            out.append({"id": str(c.get("id") or inner.get("id") or name), "type": "function", "function": {"name": str(name), "arguments": args if isinstance(args, str) else json.dumps(args, ensure_ascii=False)}})
+    return json.dumps(out, ensure_ascii=False) if out else None
+
+
+def canonical_results(text: str | None) -> str | None:
+    """Results of calls as JSON [{id, data}], data as text."""
+    out = []
+    for r in _listed(text):
+        ident = next((r[k] for k in ("id", "tool_call_id", "tool_use_id") if r.get(k)), None)
+        data = next((r[k] for k in ("data", "content", "output", "result") if k in r), None)
+        out.append({"id": None if ident is None else str(ident), "data": data if isinstance(data, str) else json.dumps(data, ensure_ascii=False)})
+    return json.dumps(out, ensure_ascii=False) if out else None
+
+
+def canonical_turns(turns: DataFrame) -> DataFrame:
+    """``turns`` with ``tool_calls`` and ``tool_eval_data`` in the canonical shape, whatever provider they came from; text that is no JSON becomes null."""
+    at = [turns.columns.index(c) for c in ("tool_calls", "tool_eval_data")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = list(b.columns)
+            for i, f in zip(at, (canonical_calls, canonical_results), strict=True):
+                columns[i] = pa.array([f(t) for t in columns[i].to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
+
+    return turns.mapInArrow(run, turns.schema)
+
+
+def conversation_state(turns: DataFrame, question: str | None = None, prompt: str | None = None) -> DataFrame:
+    """(session_id, messages, last_role, last_updated_at): the canonical messages of a session as JSON, and its last turn."""
+    last = turns.groupBy(F.col("session_id").alias("_s")).agg(F.max_by(F.struct("role", "updated_at"), F.struct("created_at", "id")).alias("l"))
+    j = messages_json(canonical_messages(turns, question, prompt))
+    return j.join(last, F.col("session_id") == F.col("_s"), "left").select("session_id", "messages", F.col("l.role").alias("last_role"), F.col("l.updated_at").alias("last_updated_at"))
+
+
 def canonical_messages(turns: DataFrame, question: str | None = None, prompt: str | None = None) -> DataFrame:
     """(session_id, rank, created_at, role, content, tool_call_id): system 0, user 1, then answers, calls and results 2.
 

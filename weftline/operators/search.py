@@ -189,13 +189,155 @@ def parsed_confidence(c: Column) -> Column:
 
 
 def pending_embeddings(entity: DataFrame, embeddings: DataFrame, key: str, column: str, model: str, max_length: int = 10_000, per_model: bool = True) -> DataFrame:
-    """Rows whose column has no embedding yet: (source_id, column_name, embedding_name, description, idx).
+    """Rows whose column has no embedding yet: (source_id, column_name, embedding_name, description, bid).
 
-    Empty and null texts need none; texts are cut to what a request takes. With ``per_model`` an embedding of another
+    ``bid`` is the id that the embedding will have. Requests need no running number, since embeddings are made beside their rows.
+    Empty and null texts need none; of longer texts the first ``max_length`` characters are embedded. With ``per_model`` an embedding of another
     model does not count; without it any does.
     """
     done = embeddings.where(F.col("column_name") == column)
     if per_model:
         done = done.where(F.col("embedding_name") == model)
     todo = entity.where(F.col(column).isNotNull() & (F.col(column) != "")).join(done.select(F.col("source_record_id").alias("_s")), F.col(key) == F.col("_s"), "left_anti")
-    return todo.select(F.col(key).alias("source_id"), F.lit(column).alias("column_name"), F.lit(model).alias("embedding_name"), F.substring(F.col(column), 1, max_length).alias("description"))
+    from weftline.functions.ids import jsonb_uuid
+
+    text = lambda c: (c, "string")
+    bid = jsonb_uuid({"column_name": text(F.lit(column)), "embedding_id": text(F.lit(model)), "source_record_id": text(F.col(key).cast("string"))})
+    return todo.select(F.col(key).alias("source_id"), F.lit(column).alias("column_name"), F.lit(model).alias("embedding_name"), F.substring(F.col(column), 1, max_length).alias("description"), bid.alias("bid"))
+
+
+# ---------------------------------------------------------------- searches with three legs
+
+def three_legs(entity: DataFrame, embeddings: DataFrame, query: Vector, source: str, vector: str, where: Column | None = None, order: Sequence[str] = (), user: str | None = None, key: str = "id", content: str = "content", paths: str | None = "graph_paths", threshold: float | None = 0.75, limit: int = 5) -> DataFrame:
+    """(leg, id, pos, vdistance, path_length, content): the first ``limit`` rows of each leg of a search over an entity.
+
+    sql: rows for which ``where`` holds, in ``order`` (columns, ``-`` before those that descend), then by key. vector: rows nearest to ``query``. graph: other rows that share a
+    concept of their graph paths with a hit of the vector leg, those that share most first. With a ``user`` only the user's rows count.
+    Each leg is a top-k: filters and the least distance come before the shuffle, and what is joined to the entity is ``limit`` rows.
+    """
+    rows = entity if user is None else entity.where(F.col("userid") == user)
+    narrow = rows.select(F.col(key).cast("string").alias("id"), F.col(content).alias("content"), *([paths] if paths else []))
+    none = F.lit(None)
+
+    def placed(df: DataFrame, leg: str, by: Sequence[Column], vdistance: Column, path_length: Column) -> DataFrame:
+        pos = F.row_number().over(Window.orderBy(*by)).cast("long")  # at most limit rows
+        return df.select(F.lit(leg).alias("leg"), "id", pos.alias("pos"), vdistance.cast("double").alias("vdistance"), path_length.cast("long").alias("path_length"), "content")
+
+    if user is not None:
+        embeddings = embeddings.join(rows.select(F.col(key).alias("_k")), F.col(source) == F.col("_k"), "left_semi")
+    near = vector_search(embeddings, query, source, vector, threshold, limit).select(F.col("id").cast("string").alias("_hit"), "vdistance")
+    hits = narrow.join(F.broadcast(near), F.col("id") == F.col("_hit")).drop("_hit")  # at most limit rows
+    legs = placed(hits, "vector", [F.col("vdistance"), F.col("id")], F.col("vdistance"), none)
+    if where is not None:
+        keys = [c.removeprefix("-") for c in order]
+        found = rows.where(where).select(F.col(key).cast("string").alias("id"), F.col(content).alias("content"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(keys)])
+        by = [*(F.desc_nulls_last(f"_o{i}") if c[0] == "-" else F.asc_nulls_last(f"_o{i}") for i, c in enumerate(order)), F.asc("id")]
+        legs = legs.unionByName(placed(found.orderBy(*by).limit(limit), "sql", by, none, none))
+    if paths:
+        concept = lambda df: df.select("id", F.explode(paths).alias("_p")).select("id", F.explode(F.split("_p", "/")).alias("concept")).where("concept != ''").distinct()
+        mine = concept(hits).select(F.col("id").alias("_h"), F.col("concept").alias("_c"))
+        shared = concept(narrow).join(F.broadcast(mine), F.col("concept") == F.col("_c"))  # concepts of at most limit rows
+        other = shared.join(F.broadcast(near.select("_hit")), F.col("id") == F.col("_hit"), "left_anti").groupBy("id").agg(F.countDistinct("concept").alias("_n"))
+        by = [F.desc("_n"), F.asc("id")]
+        best = other.orderBy(*by).limit(limit)
+        linked = narrow.select(F.col("id").alias("_i"), "content").join(F.broadcast(best), F.col("_i") == F.col("id"))
+        legs = legs.unionByName(placed(linked, "graph", by, none, F.lit(1)))
+    return legs
+
+
+def entity_search(legs: DataFrame, query_text: str | None = None, confidence: float = 0.0, min_confidence: float = 0.7, use_sql: bool = True) -> DataFrame:
+    """One row of a search from :func:`three_legs`: (query_text, confidence, relational_result, vector_result, graph_result, hybrid_score, error_message).
+
+    Results are JSON arrays in order, ``[]`` where a leg is empty. The relational leg counts only if it is used and sure
+    enough; what keeps it out is the error message. Legs run as one plan, so there are no times of theirs.
+    """
+    sql_on = use_sql and confidence >= min_confidence
+    error = None if sql_on else "SQL is not used" if not use_sql else f"confidence {confidence} is below {min_confidence}"
+    mine = lambda leg, *names: F.to_json(F.array_sort(F.filter(F.collect_list(F.when(F.col("leg") == leg, F.struct("pos", "id", *names))), lambda x: x.isNotNull())))
+    n = lambda leg: F.count(F.when(F.col("leg") == leg, 1))
+    rows = legs if sql_on else legs.where("leg != 'sql'")
+    one = rows.agg(mine("sql", "content").alias("relational_result"), mine("vector", "vdistance", "content").alias("vector_result"), mine("graph", "path_length", "content").alias("graph_result"), n("sql").alias("_s"), n("vector").alias("_v"), n("graph").alias("_g"), F.min("vdistance").alias("_d"))
+    score = hybrid_score(F.lit(float(confidence)), F.col("_s"), F.coalesce("_d", F.lit(0.0)), F.col("_v"), F.col("_g"), use_sql)
+    return one.select(F.lit(query_text).cast("string").alias("query_text"), F.lit(float(confidence)).alias("confidence"), "relational_result", "vector_result", "graph_result", score.alias("hybrid_score"), F.lit(error).cast("string").alias("error_message"))
+
+
+def merged_legs(legs: DataFrame, weights: tuple[float, float, float] = (0.4, 0.4, 0.2), max_results: int = 10) -> DataFrame:
+    """(id, score, content, source, rank) of the legs of :func:`three_legs`, merged as in :func:`merge_search_results`."""
+    leg = lambda name: legs.where(F.col("leg") == name)
+    top = merge_search_results(leg("sql"), leg("vector"), leg("graph"), weights, max_results)
+    contents = legs.groupBy(F.col("id").alias("_i")).agg(F.max("content").alias("content"))  # rows of the legs only
+    return top.join(contents, F.col("id") == F.col("_i")).select("id", "score", "content", "source", "rank")
+
+
+def search_entities(legs: dict[str, DataFrame], max_results: int = 10, include_graph: bool = True, stats: bool = False) -> DataFrame:
+    """(entity_type, id, score, content, rank, with ``stats`` also stats): searches of several entities, ranked together.
+
+    ``legs`` by entity type as of :func:`three_legs`. ``stats``: JSON of how many rows each leg of the entity gave.
+    """
+    parts = []
+    for name, rows in legs.items():
+        rows = rows if include_graph else rows.where("leg != 'graph'")
+        part = merged_legs(rows, max_results=max_results).select(F.lit(name).alias("entity_type"), "id", "score", "content")
+        if stats:
+            count = lambda leg: F.count(F.when(F.col("leg") == leg, 1)).alias(leg)
+            part = part.crossJoin(rows.agg(F.to_json(F.struct(*[count(x).alias(x) for x in ("sql", "vector", "graph")])).alias("stats")))  # one row
+        parts.append(part)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    by = [F.desc("score"), F.asc("entity_type"), F.asc("id")]
+    top = out.orderBy(*by).limit(max_results)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*by)).cast("long")).select("entity_type", "id", "score", "content", "rank", *(["stats"] if stats else []))
+
+
+def resource_report(resources: DataFrame, scores: DataFrame | None = None, user: str | None = None, limit: int = 20) -> DataFrame:
+    """Nine columns of each (uri, userid): (uri, resource_name, chunk_count, total_chunk_size, avg_chunk_size, max_date, categories, semantic_score, user_id).
+
+    ``scores`` (uri, userid, score) as of :func:`resource_search` answer a question: best first, then latest. Without them: latest and largest first.
+    """
+    rows = resources if user is None else resources.where(F.col("userid") == user)
+    agg = rows.groupBy("uri", "userid").agg(
+        F.max("name").alias("resource_name"),
+        F.count("*").alias("chunk_count"),
+        F.sum(F.length("content")).alias("total_chunk_size"),
+        F.avg(F.length("content")).alias("avg_chunk_size"),
+        F.max("resource_timestamp").alias("max_date"),
+        F.array_sort(F.collect_set("category")).alias("categories"),
+    )
+    order = [F.desc_nulls_last("max_date"), F.desc("chunk_count")]
+    if scores is None:
+        agg = agg.withColumn("semantic_score", F.lit(None).cast("double"))
+    else:
+        best = scores.groupBy(F.col("uri").alias("_u"), F.col("userid").alias("_o")).agg(F.max("score").alias("semantic_score"))
+        agg = agg.join(best, (F.col("uri") == F.col("_u")) & (F.col("userid") == F.col("_o")))
+        order = [F.desc("semantic_score"), F.desc_nulls_last("max_date")]
+    columns = ["uri", "resource_name", "chunk_count", "total_chunk_size", "avg_chunk_size", "max_date", "categories", "semantic_score", F.col("userid").alias("user_id")]
+    return agg.orderBy(*order, "uri", F.asc_nulls_last("userid")).limit(limit).select(*columns)
+
+
+def upload_report(uploads: DataFrame, resources: DataFrame, semantic: DataFrame | None, query: str | None, user: str | None = None, tags: Sequence[str] | None = None, limit: int = 20) -> DataFrame:
+    """Seventeen columns of each upload found by the content of its chunks or by its file name; without a query of all.
+
+    uploads (id, filename, content_type, total_size, uploaded_size, status, created_at, updated_at, s3_uri, tags, resource_id, userid),
+    resources (id, uri, name, content, created_at), semantic (uri, semantic_score). Of both ways the better one counts.
+    """
+    up = uploads if user is None else uploads.where(F.col("userid") == user)
+    if tags:
+        up = up.where(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in tags])))
+    if query is None:
+        found = up.withColumn("semantic_score", F.lit(None).cast("double"))
+    else:
+        by_name = filename_match(up, "filename", query).withColumnRenamed("filename_score", "semantic_score")
+        found = by_name
+        if semantic is not None:
+            good = semantic.where("semantic_score > 0").groupBy(F.col("uri").alias("_s")).agg(F.max("semantic_score").alias("semantic_score"))
+            found = up.join(good, F.col("s3_uri") == F.col("_s")).drop("_s").unionByName(by_name)
+        found = found.groupBy("id").agg(F.max_by(F.struct(*[c for c in found.columns if c != "id"]), "semantic_score").alias("_b")).select("id", "_b.*")
+    order = [F.desc_nulls_last("semantic_score"), F.desc_nulls_last("updated_at"), F.asc("id")]
+    top = found.orderBy(*order).limit(limit)
+    # only the chunks of what is shown are summed up; the list is at most limit rows
+    wanted = resources.join(F.broadcast(top.select(F.col("s3_uri").alias("_w")).distinct()), F.col("uri") == F.col("_w"), "left_semi")
+    totals = wanted.groupBy("uri").agg(F.max("name").alias("resource_name"), F.countDistinct("id").alias("_n"), F.sum(F.length("content")).alias("_size"), F.max("created_at").alias("indexed_at")).withColumnRenamed("uri", "resource_uri")
+    out = top.join(totals, F.col("s3_uri") == F.col("resource_uri"), "left")
+    zero = lambda c, name: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(name)
+    return out.orderBy(*order).select(F.col("id").alias("upload_id"), "filename", "content_type", "total_size", "uploaded_size", "status", F.col("created_at"), "updated_at", "s3_uri", "tags", "resource_id", "resource_uri", "resource_name", zero("_n", "chunk_count"), zero("_size", "resource_size"), "indexed_at", "semantic_score")

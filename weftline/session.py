@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(app: str = "weftline", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -45,12 +45,22 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder that every machine sees: below spark.checkpoint.dir; in a temporary one only where driver and workers are one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        return tempfile.mkdtemp(prefix=f"weftline-{purpose}-")
+    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder checkpoints go to: what spark.checkpoint.dir names, a folder of our own only where nothing is set."""
+    """The folder checkpoints go to: what spark.checkpoint.dir names, a folder of our own only where nothing is set and all runs in one process."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current is None:
-        current = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-ck-")
+        current = spark.conf.get("spark.checkpoint.dir", None) or shared_folder(spark, "checkpoints")
         sc.setCheckpointDir(current)
     return current
 
@@ -68,8 +78,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def parallelism(spark: SparkSession, least: int = 8) -> int:
     """Number of tasks for a stage whose work is CPU bound."""
     return max(least, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def broadcast_if_small(df: DataFrame, rows: int, limit: int = 2_000_000) -> DataFrame:
-    """Broadcast hint only when the counted ``rows`` are within ``limit``; otherwise the plain frame (a shuffle join)."""
-    return F.broadcast(df) if rows <= limit else df

@@ -88,14 +88,19 @@ def changed_files(listing: DataFrame, synced: DataFrame) -> DataFrame:
     return j.where("_m is null or _m < modified").drop("_c", "_r", "_m")
 
 
-def folder_paths(folders: DataFrame, max_depth: int = 12) -> DataFrame:
-    """(id, path, depth) of (id, parent_id, name): folder paths from the roots, level by level."""
+def folder_paths(folders: DataFrame) -> DataFrame:
+    """(id, path, depth) of (id, parent_id, name): folder paths from the roots, level by level, however deep.
+
+    Each level is cut, so that the next does not work it out again. A folder that is its own ancestor hangs from no root and
+    is not listed; folders with several parents have a path for each.
+    """
+    from weftline.session import cut
+
     level = folders.where("parent_id is null").select("id", F.col("name").alias("path"), F.lit(0).cast("long").alias("depth"))
     out = level
-    child = folders.select(F.col("id").alias("cid"), "parent_id", "name")
-    for _ in range(max_depth):
-        level = level.join(child, F.col("id") == F.col("parent_id")).select(F.col("cid").alias("id"), F.concat_ws("/", "path", "name").alias("path"), (F.col("depth") + 1).alias("depth"))
+    child = folders.where("parent_id is not null").select(F.col("id").alias("cid"), "parent_id", "name")
+    while True:
+        level = cut(level.join(child, F.col("id") == F.col("parent_id")).select(F.col("cid").alias("id"), F.concat_ws("/", "path", "name").alias("path"), (F.col("depth") + 1).alias("depth")))
         if level.isEmpty():
-            break
+            return out
         out = out.unionByName(level)
-    return out
