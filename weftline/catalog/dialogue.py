@@ -17,7 +17,7 @@ from weftline.streaming import streams
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
-    t = frames.current(spark, d, "ai_responses", ["session_id", "role", "content", "tool_calls", "tool_eval_data", "created_at", "model_name", "status", "function_stack"])
+    t = frames.current(spark, d, "ai_responses", ["session_id", "role", "content", "tool_calls", "tool_eval_data", "created_at", "updated_at", "model_name", "status", "function_stack"])
     return t.where("session_id is not null").withColumn("session_id", F.lower("session_id")).withColumn("role", m.speaker(F.col("role")))
 
 
@@ -26,13 +26,27 @@ _ROLE = " ".join(_WHO.format(", ".join(f"'{x}'" for x in names), who).replace("c
 _T = f"(select id, lower(session_id) as session_id, case {_ROLE} end as role, content, tool_calls, tool_eval_data, created_at, model_name, status, function_stack from " + current("ai_responses") + " where session_id is not null)"
 
 
-@query(f"""with u as (select distinct session_id, 0 as rank, 'system' as role, 'be brief' as content from {_T} union all select session_id, 1, role, content from {_T} where role = 'user'
-union all select session_id, 2, role, content from {_T} where role = 'assistant' and content is not null)
-select session_id, rank, role, count(*) as n, min(content) as first from u group by 1, 2, 3""")
+_OPEN = "case when json_type({0}) = 'VARCHAR' and json_valid(trim({0} ->> '$')) and json_type(trim({0} ->> '$')) in ('OBJECT', 'ARRAY', 'VARCHAR') then trim({0} ->> '$')::json else {0} end"
+#: calls and results of all messages: session_id, id, created_at, side, x (an object)
+_TOOLS = f"""t0 as (select session_id, id, created_at, 'call' as side, trim(tool_calls) as t from {_T} where tool_calls is not null union all select session_id, id, created_at, 'result', trim(tool_eval_data) from {_T} where tool_eval_data is not null),
+t1 as (select session_id, side, t::json as j from t0 where json_valid(t)), t2 as (select session_id, side, {_OPEN.format('j')} as j from t1), t3 as (select session_id, side, {_OPEN.format('j')} as j from t2),
+t4 as (select session_id, side, unnest(case when json_type(j) = 'ARRAY' then from_json(j, '["json"]') else [j] end) as x from t3),
+tools as (select session_id, side, x, coalesce(x ->> '$.function.name', x ->> '$.functionCall.name', x ->> '$.function_call.name', x ->> '$.name') as name from t4 where json_type(x) = 'OBJECT' and x::varchar <> '{{}}')"""
+
+
+def _full_turns(spark: SparkSession, d: str) -> DataFrame:
+    return m.canonical_turns(_turns(spark, d))
+
+
+@query(f"""with {_TOOLS}, u as (select distinct session_id, 0 as rank, 'system' as role, 'text' as kind, 'be brief' as content from {_T} union all select session_id, 1, role, 'text', content from {_T} where role = 'user'
+union all select session_id, 2, role, 'text', content from {_T} where role = 'assistant' and content is not null union all select session_id, 2, 'assistant', 'call', name from tools where side = 'call' and name is not null
+union all select session_id, 2, 'tool', 'result', null from tools where side = 'result')
+select session_id, rank, role, kind, count(*) as n, min(content) as first from u group by 1, 2, 3, 4""")
 def e7_canonical_messages(spark: SparkSession, d: str) -> DataFrame:
-    t = _turns(spark, d).withColumn("tool_calls", F.lit(None).cast("string")).withColumn("tool_eval_data", F.lit(None).cast("string"))
-    c = m.canonical_messages(t, prompt="be brief")
-    return c.groupBy("session_id", "rank", "role").agg(F.count("*").alias("n"), F.min("content").alias("first"))
+    c = m.canonical_messages(_full_turns(spark, d), prompt="be brief")
+    kind = F.when(F.col("role") == "tool", "result").when(F.col("tool_call_id").isNotNull(), "call").otherwise("text")
+    shown = F.when(kind != "result", F.col("content"))
+    return c.groupBy("session_id", "rank", "role", kind.alias("kind")).agg(F.count("*").alias("n"), F.min(shown).alias("first"))
 
 
 @query("""select (user_id % 50)::varchar as session_id, 'assistant' as role, 'c' || event_id as tool_call_id, event_type as content from events
@@ -46,11 +60,12 @@ def e7_tool_messages(spark: SparkSession, d: str) -> DataFrame:
     return m.canonical_messages(t).where("tool_call_id is not null").select("session_id", "role", "tool_call_id", "content")
 
 
-@query(f"select session_id, count(*) as n from {_T} where (role = 'assistant' and content is not null) or role = 'user' group by 1")
+@query(f"""with {_TOOLS}, n as (select session_id, count(*) as n from (select session_id from {_T} where (role = 'assistant' and content is not null) or role = 'user' union all select session_id from tools where side = 'result' or name is not null) group by 1),
+l as (select * from (select session_id, role, updated_at, row_number() over (partition by session_id order by created_at desc, id desc) as rn from {_T.replace('created_at, model_name', 'created_at, updated_at, model_name')}) where rn = 1)
+select l.session_id, coalesce(n, 0) + 1 as n, role as last_role, updated_at as last_updated_at from l left join n on n.session_id = l.session_id""")
 def e7_messages_json(spark: SparkSession, d: str) -> DataFrame:
-    t = _turns(spark, d).withColumn("tool_calls", F.lit(None).cast("string")).withColumn("tool_eval_data", F.lit(None).cast("string"))
-    j = m.messages_json(m.canonical_messages(t))
-    return j.select("session_id", (F.json_array_length("messages") - 1).cast("long").alias("n")).where("n > 0")
+    j = m.conversation_state(_full_turns(spark, d))
+    return j.select("session_id", F.json_array_length("messages").cast("long").alias("n"), "last_role", "last_updated_at")
 
 
 @query(f"select id, case role when 'tool' then 'tool_result' else 'text' end as kind, content as body from {_T} where content is not null and role in ('user', 'assistant', 'tool')")
@@ -109,14 +124,6 @@ def h2_session_functions(spark: SparkSession, d: str) -> DataFrame:
     return m.session_functions(_turns(spark, d), ["help", "search"]).select("session_id", F.array_join(F.array_sort("functions"), ",").alias("functions"))
 
 
-@query("select name, description as described from " + current("api_functions") + " where name in (select name from api_functions order by name limit 20) and not json_valid(function_spec)")
-def h3_tools_without_spec(spark: SparkSession, d: str) -> DataFrame:
-    f = frames.current(spark, d, "api_functions", ["name", "description", "function_spec"])
-    names = [r.name for r in table(spark, d, "api_functions").select("name").orderBy("name").limit(20).collect()]
-    tools = m.tools_by_name(f.where(F.try_parse_json("function_spec").isNull()).withColumn("function_spec", F.lit(None).cast("string")), names)
-    return tools.select("name", F.get_json_object("tool", "$.function.description").alias("described"))
-
-
 @query("""select id, string_agg(k, ',' order by k) as tools from (select id, unnest(json_keys(functions)) as k from """ + current("agents") + """ where json_valid(functions) and json_type(functions) = 'OBJECT') group by 1""")
 def b12_tool_names(spark: SparkSession, d: str) -> DataFrame:
     a = frames.current(spark, d, "agents", ["functions"]).where(F.try_parse_json("functions").isNotNull() & F.col("functions").rlike(r"^\s*\{"))

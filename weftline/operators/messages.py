@@ -212,19 +212,35 @@ def session_functions(turns: DataFrame, names: list[str]) -> DataFrame:
     return last.select("session_id", F.array_union(F.coalesce("stack", F.array().cast("array<string>")), F.array(*[F.lit(n) for n in names]).cast("array<string>")).alias("functions"))
 
 
-def tools_by_name(functions: DataFrame, names: list[str], scheme: str = "openai") -> DataFrame:
-    """(name, tool): function specifications in the shape of a provider, as JSON."""
-    f = functions.where(F.col("name").isin(*names)) if names else functions.where("false")
+def _tool(scheme: str) -> Column:
+    """The specification of a function in the shape of a provider, as JSON."""
     get = lambda p: F.get_json_object("function_spec", p)
     params = F.coalesce(get("$.parameters"), get("$.input_schema"))
     base = [F.col("name"), F.coalesce(get("$.description"), F.col("description")).alias("description")]
     if scheme == "anthropic":
-        tool = F.to_json(F.struct(*base, params.alias("input_schema")))
-    elif scheme == "google":
-        tool = F.to_json(F.struct(F.array(F.struct(*base, params.alias("parameters"))).alias("function_declarations")))
-    else:
-        tool = F.to_json(F.struct(F.lit("function").alias("type"), F.struct(*base, params.alias("parameters")).alias("function")))
-    return f.select("name", tool.alias("tool"))
+        return F.to_json(F.struct(*base, params.alias("input_schema")))
+    if scheme == "google":
+        return F.to_json(F.struct(F.array(F.struct(*base, params.alias("parameters"))).alias("function_declarations")))
+    return F.to_json(F.struct(F.lit("function").alias("type"), F.struct(*base, params.alias("parameters")).alias("function")))
+
+
+def tools_by_name(functions: DataFrame, names: list[str], scheme: str = "openai") -> DataFrame:
+    """(name, tool): function specifications in the shape of a provider, as JSON."""
+    f = functions.where(F.col("name").isin(*names)) if names else functions.where("false")
+    return f.select("name", _tool(scheme).alias("tool"))
+
+
+def tools_of(functions: DataFrame, wanted: DataFrame, scheme: str = "openai") -> DataFrame:
+    """As :func:`tools_by_name` for the names in a frame, however many."""
+    return functions.join(wanted.select("name").distinct(), "name", "left_semi").select("name", _tool(scheme).alias("tool"))
+
+
+def agent_tools(agents: DataFrame, functions: DataFrame, key: str, column: str, scheme: str = "openai", add_defaults: bool = True) -> DataFrame:
+    """(key, name, tool): the specifications of the functions that each agent names; names without a function have none."""
+    from weftline.operators.entities import tool_names
+
+    asked = agents.select(F.col(key), F.explode(F.array_distinct(tool_names(F.col(column), add_defaults))).alias("name"))
+    return asked.join(functions.select("name", _tool(scheme).alias("tool")), "name").select(key, "name", "tool")
 
 
 def user_threads(sessions: DataFrame) -> DataFrame:

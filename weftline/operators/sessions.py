@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -38,6 +39,12 @@ def user_memory(users: DataFrame, who: str) -> DataFrame:
     return users.where((F.col("id") == who) | (F.lower("email") == who.lower()))
 
 
+def digest(turns: DataFrame, start: dt.datetime, days: int = 1) -> DataFrame:
+    """(userid, messages, sessions, first, last): what each user did in the ``days`` from ``start``; messages without a user are nobody's."""
+    t = turns.where(F.col("userid").isNotNull() & (F.col("created_at") >= F.lit(start)) & (F.col("created_at") < F.lit(start + dt.timedelta(days=days))))
+    return t.groupBy("userid").agg(F.count("*").alias("messages"), F.countDistinct(F.lower("session_id")).alias("sessions"), F.min("created_at").alias("first"), F.max("created_at").alias("last"))
+
+
 def list_uploads(uploads: DataFrame, user: str | None = None, tags: Sequence[str] | None = None, status: str | None = None, text: str | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
     """Uploads with all filters applied, newest first."""
     u = uploads

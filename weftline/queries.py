@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.catalog import dialogue, graphs, relational, searching  # noqa: F401  (they register themselves)
+from weftline.catalog import dialogue, graphs, relational, searching, upkeep  # noqa: F401  (they register themselves)
 from weftline.catalog.registry import QUERIES, SQL
 from weftline.operators.flatten import flatten_members, flatten_objects
 from weftline.operators.latest import latest_rows
@@ -49,7 +49,10 @@ n as (
   union all
   select src, rid, path || case when box = 'ARRAY' then '[' || k || ']' else '.' || k end, case when box = 'OBJECT' then path else owner end, {_OPEN.format(j=_OPEN.format(j='v'))}, depth + 1
   from (select n.src, n.rid, n.path, n.owner, n.depth, json_type(n.j) as box, e.key as k, e.value as v from n, json_each(n.j) e where json_type(n.j) in ('OBJECT', 'ARRAY') and n.depth < 40))
-select distinct src as src_field, rid as record_id, path as node_path, owner as parent_path from n where json_type(j) = 'OBJECT' and depth > 0"""
+"""
+P5_FOUND = P5 + "select distinct src as src_field, rid as record_id, path as node_path, owner as parent_path from n where json_type(j) = 'OBJECT' and depth > 0"
+P5_MEMBERS = P5.replace("where json_type(j) in ('OBJECT', 'ARRAY')\n  union all", "union all", 1) + """select distinct src as src_field, rid as record_id, owner as node_path, path as member_path,
+case json_type(j) when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'NULL' then 'null' else 'number' end as kind, case json_type(j) when 'VARCHAR' then j ->> '$' else j::varchar end as value from n where json_type(j) not in ('OBJECT', 'ARRAY')"""
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -61,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": P5} | SQL
+    return {"p5_found": P5_FOUND, "p5_members": P5_MEMBERS} | SQL
