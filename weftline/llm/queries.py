@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import conversations as conv
@@ -58,6 +58,16 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d)
 
 
+def p3_sound(spark: SparkSession, d: str) -> DataFrame:
+    """Per table: items that were cut, pieces over the limit, places where the overlap is not exact, items not covered to their end."""
+    limits = table(spark, d, "split_limits")
+    p = _pieces(spark, d).where("pieces > 1").withColumn("n", F.length("content"))
+    before = F.lag("end").over(Window.partitionBy("item_table", "item_id").orderBy("piece"))
+    p = p.withColumn("gap", F.coalesce(before - F.col("start"), F.lit(-1))).join(F.broadcast(limits), "item_table")  # a fixed table
+    wrong = (F.col("n") > F.col("max_chars")).cast("long"), ((F.col("piece") > 0) & (F.col("gap") != F.col("overlap_chars")) | (F.col("piece") == 0) & (F.col("start") != 0) | (F.col("n") != F.col("end") - F.col("start"))).cast("long")
+    return p.groupBy("item_table").agg(F.countDistinct("item_id").alias("items"), F.sum(wrong[0]).alias("too_long"), F.sum(wrong[1]).alias("gaps"))
+
+
 def p3_ordinals(spark: SparkSession, d: str) -> DataFrame:
     pieces = cut(_pieces(spark, d).select("item_table", "item_id", "piece"))
     a = split.renumbered(table(spark, d, "resources"), pieces.where("item_table = 'resources'"), "uri", "updated_at")
@@ -96,6 +106,20 @@ def p6_packed(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d)
 
 
+def p6_sound(spark: SparkSession, d: str) -> DataFrame:
+    """Per container: bins over capacity, items of which tokens are lost or packed twice, items cut though they fit."""
+    sizes = cut(tokens.with_tokens(table(spark, d, "documents").select("doc_id", "text"), "text", ["doc_id"], out="size"))
+    packed = cut(pack.pack_items(sizes, table(spark, d, "pack_capacities")))
+    bins = packed.groupBy("container", "capacity", "bin").agg(F.sum("size").alias("used")).groupBy("container").agg(F.sum((F.col("used") > F.col("capacity")).cast("long")).alias("over_full"))
+    got = packed.groupBy("container", "capacity", "doc_id").agg(F.sum("size").alias("got"), F.count("*").alias("parts"), F.countDistinct("piece").alias("pieces"))
+    all_ = F.broadcast(table(spark, d, "pack_capacities").select("container", F.col("capacity_tokens").alias("capacity")))  # a fixed table
+    want = sizes.where("size is not null").crossJoin(all_)
+    both = want.join(got, ["container", "capacity", "doc_id"], "full")
+    lost = (~F.col("size").eqNullSafe(F.col("got")) | (F.col("parts") != F.col("pieces"))).cast("long")
+    items = both.groupBy("container").agg(F.sum(lost).alias("lost"), F.sum(((F.col("parts") > 1) & (F.col("size") <= F.col("capacity"))).cast("long")).alias("cut"))
+    return bins.join(items, "container")
+
+
 def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return pack.pack_report(_packed(spark, d))
 
@@ -115,6 +139,16 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)
 
 
+def p7_sound(spark: SparkSession, d: str) -> DataFrame:
+    """Per target: texts used too often, and uses of texts that the source does not have."""
+    targets, drawn = table(spark, d, "mix_targets"), cut(_mixed(spark, d))
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("home"))
+    strange = drawn.join(docs, "doc_id", "left").groupBy("source").agg(F.sum((~F.col("home").eqNullSafe(F.col("source"))).cast("long")).alias("strange"))
+    often = drawn.groupBy("source", "doc_id").count().join(F.broadcast(targets), "source").groupBy("source").agg(F.sum((F.col("count") > F.col("max_repeats")).cast("long")).alias("too_often"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return targets.select("source").join(strange, "source", "left").join(often, "source", "left").select("source", zero("too_often"), zero("strange"))
+
+
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix.mix_report(_mixed(spark, d), table(spark, d, "mix_targets"))
 
@@ -131,7 +165,7 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = ["p1_found", "p1_neighbours", "p2_found", "p2_conversations", "p3_found", "p3_pieces", "p3_ordinals", "p4_found", "p4_redacted", "p6_packed", "p6_fill", "p7_mix", "p7_shares", "p8_found", "p8_restored"]
+    names = ["p1_found", "p1_neighbours", "p2_found", "p2_conversations", "p3_found", "p3_pieces", "p3_ordinals", "p3_sound", "p4_found", "p4_redacted", "p6_packed", "p6_fill", "p6_sound", "p7_mix", "p7_shares", "p7_sound", "p8_found", "p8_restored"]
     return {n: globals()[n] for n in names}
 
 
@@ -149,6 +183,13 @@ select a.vec_table, a.id as id_a, b.id as id_b from good a join good b on a.vec_
 where list_cosine_similarity(a.v, b.v) >= 0.92
 """
 
+P1_NEAR = (
+    P1[: P1.index("select a.vec_table")]
+    + """, s as (select a.vec_table, a.m as embedding_name, a.id, b.id as neighbour, list_cosine_similarity(a.v, b.v) as x from good a join good b on a.vec_table = b.vec_table and a.m is not distinct from b.m and a.id <> b.id),
+t as (select *, row_number() over (partition by vec_table, embedding_name, id order by round(x, 12) desc, neighbour) as rank from s)
+select vec_table, embedding_name, id, neighbour, round(x, 6) as similarity, rank from t where rank <= 10"""
+)
+
 P3 = (
     "with r as ("
     + _CURRENT.format(cols="lower(id) as id, content", order="updated_at desc nulls last", t="resources")
@@ -186,4 +227,6 @@ v as (select * from (select sid, case when not talks then 'empty' when opener is
 def oracle_sql() -> dict[str, str]:
     found = _P2 + "select sid as session_id, reason from v where reason is not null"
     kept = _P2 + "select sid as conversation, n - 1 as position, id, who as speaker, content, tool_calls, created_at from o where sid in (select sid from v where reason is null)"
-    return {"p1_found": P1, "p2_found": found, "p2_conversations": kept, "p3_found": P3}
+    sound = "select item_table, count(*) as items, 0::bigint as too_long, 0::bigint as gaps from (" + P3 + ") group by 1"
+    packed, mixed = "select container, 0::bigint as over_full, 0::bigint as lost, 0::bigint as cut from pack_capacities", "select source, 0::bigint as too_often, 0::bigint as strange from mix_targets"
+    return {"p1_found": P1, "p1_neighbours": P1_NEAR, "p2_found": found, "p2_conversations": kept, "p3_found": P3, "p3_sound": sound, "p6_sound": packed, "p7_sound": mixed}

@@ -17,7 +17,7 @@ the Arrow batch it needs some seven times that.
 
 Edge cases: null, empty, zero, not-a-number vectors, vectors with null elements and those whose length is not the
 usual one of their group (the most frequent, the smaller on a tie) are in no result. Repeated ids of a group count once (the
-greatest vector if they differ). Ties in similarity go to the smaller id. Groups with one usable vector give no row.
+greatest vector if they differ). Similarities that are equal to 12 digits are ties, which go to the smaller id. Groups with one usable vector give no row.
 Null ids are skipped; a null group is a group. Other columns are ignored, whatever their names.
 """
 
@@ -207,7 +207,7 @@ def _recompute(a: Part, b: Part, i: np.ndarray, j: np.ndarray) -> None:
         rough = np.einsum("ij,ij->i", a.unit[p], b.unit[q])
         keep = rough >= np.minimum(a.floor[p], b.floor[q]) - 1e-5
         p, q = p[keep], q[keep]
-        sim = np.einsum("ij,ij->i", a.mat[p].astype(np.float64), b.mat[q].astype(np.float64)) / (a.norm[p] * b.norm[q])
+        sim = np.round(np.einsum("ij,ij->i", a.mat[p].astype(np.float64), b.mat[q].astype(np.float64)) / (a.norm[p] * b.norm[q]), 12)
         a.merge(p, sim, b.num + q)
         b.merge(q, sim, a.num + p)
 
