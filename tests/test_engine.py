@@ -86,3 +86,36 @@ def test_small_things(spark):
     deep: dict = {}
     deep["x"] = {"y": deep}
     assert json.dumps(json_safe({"d": spark.range(1).select(F.current_date().alias("d")).first(), "s": {1, 2}, "deep": deep}))
+
+
+def test_native_functions_plan_and_resume(spark):
+    e, functions = _engine(spark), ag.Functions()
+    e.index("public.Note")
+    active = ag.add_native(functions, e, lambda messages, tools: {"content": messages[-2]["content"]})
+    call = lambda name, **args: functions.evaluate({"function": {"name": name, "arguments": json.dumps(args)}})
+    assert call("get_entities", keys=["bread"]) == {} and [r["id"] for r in call("get_entities", keys=["tide table"])["public.Note"]] == ["1"]
+    assert call("search", question="heights of the tide at noon", entity_table_name="public.Note")["vector"][0]["id"] == "1"
+    assert "get_entities" in call("help", question="how?") and call("announce_generate_large_output", estimated_length=9)["estimated_length"] == 9
+    assert call("activate_functions_by_name", function_names=["search", "nothing"]) == ["search"] and active == {"search"}
+    assert ag.plan("how?", lambda m, t: 1 / 0, functions).status == ag.ERROR
+    state = json.dumps([{"role": "system", "content": "be brief"}, {"role": "user", "content": "hi"}, {"role": "assistant", "content": None}])
+    seen = []
+    turns = list(ag.resume(state, lambda m, t: seen.append(m) or {"content": "yes", "finish_reason": "stop"}, functions, "s"))
+    assert [t.content for t in turns] == ["yes"] and [m["content"] for m in seen[0]] == ["be brief", "hi"]
+    assert list(ag.resume("[]", lambda m, t: {}, functions, "s")) == []
+
+
+def test_upload_report_has_all_columns(spark):
+    import datetime as dt
+
+    from weftline.operators.search import upload_report
+
+    t = dt.datetime(2025, 1, 1)
+    up = [("u1", "tide table.csv", "text/csv", 10, 10, "done", t, t, "s3://a", ["x"], None, "me"), ("u2", "bread.txt", "text/plain", 5, 2, "open", t, None, "s3://b", None, "r", None), ("u3", None, None, None, None, None, None, t, None, ["x"], None, "me")]
+    uploads = spark.createDataFrame(up, "id string, filename string, content_type string, total_size long, uploaded_size long, status string, created_at timestamp_ntz, updated_at timestamp_ntz, s3_uri string, tags array<string>, resource_id string, userid string")
+    chunks = spark.createDataFrame([("c1", "s3://a", "A", "four", t), ("c2", "s3://a", "B", None, t), ("c2", "s3://a", "B", None, t)], "id string, uri string, name string, content string, created_at timestamp_ntz")
+    semantic = spark.createDataFrame([("s3://b", 0.4), ("s3://b", 0.5), ("s3://a", -1.0), (None, 0.9)], "uri string, semantic_score double")
+    got = upload_report(uploads, chunks, semantic, "tide table").collect()
+    assert len(got[0]) == 17 and [(r.upload_id, r.chunk_count, r.resource_size, r.resource_name) for r in got] == [("u1", 2, 4, "B"), ("u2", 0, 0, None)]
+    assert got[1].semantic_score == 0.5 and {r.upload_id for r in upload_report(uploads, chunks, None, None, user="me", tags=["x"]).collect()} == {"u1", "u3"}
+    assert upload_report(uploads.limit(0), chunks.limit(0), semantic.limit(0), "x").count() == 0

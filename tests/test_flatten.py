@@ -77,3 +77,10 @@ def test_frames(spark):
     cells = {(r.node_path, r.member_path, r.kind, r.value) for r in flatten_members(df, "id", [("spec", "t.spec")]).where("record_id = 'r1'").collect()}
     assert cells == {("$.a", "$.a.x", "number", "1"), ("$.b[0]", "$.b[0].y", "string", "t")}
     assert flatten_objects(df.limit(0), "id", [("spec", "t.spec")]).count() == 0
+
+
+def test_batches_are_sliced_by_bytes():
+    from weftline.operators.flatten import slices
+
+    texts = pa.array(["x" * 10, None, "y" * 50, "z", "", "w" * 9])
+    assert list(slices(texts, 20)) == [(0, 2), (2, 3), (3, 6)] and list(slices(texts.slice(3), 20)) == [(0, 3)] and list(slices(texts.slice(0, 0))) == []

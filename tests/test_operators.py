@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 import uuid
 from typing import Any, Optional, Union
 
@@ -224,3 +225,29 @@ def test_files(spark, tmp_path):
     for kind in ("csv", "json", "parquet", "orc"):
         files.write_any(spark.range(3).select(F.col("id").cast("string")), str(tmp_path / kind), kind)
         assert files.read_any(spark, str(tmp_path / kind), kind).count() == 3
+
+
+def test_calls_and_results_of_any_provider():
+    load = lambda t: json.loads(t) if t else None
+    assert load(m.canonical_calls('"[{\\"functionCall\\": {\\"name\\": \\"f\\", \\"args\\": {\\"k\\": 1}}}]"')) == [{"id": "f", "type": "function", "function": {"name": "f", "arguments": '{"k": 1}'}}]
+    assert load(m.canonical_calls('{"type": "tool_use", "id": "t1", "name": "g", "input": {}}'))[0]["id"] == "t1"
+    for nothing in (None, "", "null", "[]", "{", "3", '"x"', "[{}]", '[{"id": "a"}]'):
+        assert m.canonical_calls(nothing) is None
+    assert load(m.canonical_results('{"tool_use_id": "t1", "data": {"n": 1}}')) == [{"id": "t1", "data": '{"n": 1}'}]
+    assert load(m.canonical_results('[{"content": "x"}]')) == [{"id": None, "data": "x"}] and m.canonical_results("not json") is None
+
+
+def test_components_say_when_they_are_not_finished(spark):
+    chain = spark.range(64).selectExpr("id as src", "id + 1 as dst")
+    with pytest.raises(RuntimeError):
+        connected_components(chain, max_rounds=1)
+    assert connected_components(chain).select("component").distinct().count() == 1
+
+
+def test_three_legs_on_nothing(spark):
+    rows = spark.createDataFrame([], "id string, content string, graph_paths array<string>, userid string")
+    e = spark.createDataFrame([], "source string, v array<float>")
+    legs = s.three_legs(rows, e, [1.0, 0.0], "source", "v", F.col("content").isNotNull(), user="u")
+    assert legs.count() == 0 and s.merged_legs(legs).count() == 0 and s.search_entities({"a": legs}, stats=True).count() == 0
+    one = s.entity_search(legs, "q", 0.2).first()
+    assert (one.relational_result, one.hybrid_score) == ("[]", 0.0) and "below" in one.error_message

@@ -97,6 +97,64 @@ def run(question: str, model: ChatModel, functions: Functions, session_id: str =
             return
 
 
+def plan(question: str, model: ChatModel, functions: Functions, session_id: str = "s", level: int | None = None, prompt: str = "") -> Turn:
+    """The model's answer to how it would go about a question: it is shown what functions there are, and calls none."""
+    known = "\n".join(json.dumps({k: f.get(k) for k in ("name", "description")}, ensure_ascii=False) for f in functions.visible(level))
+    messages = [{"role": "system", "content": prompt}] if prompt else []
+    messages += [{"role": "user", "content": f"Functions that may be used:\n{known}"}, {"role": "user", "content": question}]
+    try:
+        r = model(messages, [])
+    except Exception as x:
+        return Turn(session_id, 1, "assistant", str(x), status=ERROR)
+    usage = r.get("usage") or {}
+    return Turn(session_id, 1, "assistant", r.get("content"), tokens_in=usage.get("prompt_tokens", 0), tokens_out=usage.get("completion_tokens", 0))
+
+
+def resume(state: str, model: ChatModel, functions: Functions, session_id: str, limit: int = 3, level: int | None = None) -> Iterator[Turn]:
+    """Goes on with a session from its canonical messages (``messages`` of ``conversation_state``); nothing to answer gives no turn."""
+    past = [{"role": m.get("role"), "content": m.get("content")} for m in json.loads(state) if m.get("content")]
+    asked = next((i for i in range(len(past) - 1, -1, -1) if past[i]["role"] == "user"), None)
+    if asked is None:
+        return
+    told = past[:asked] + past[asked + 1 :]
+    again = lambda messages, tools: model([*told, *messages], tools)
+    turns = run(past[asked]["content"], again, functions, session_id, limit, level)
+    next(turns)  # the question is in the session already
+    yield from turns
+
+
+def add_native(functions: Functions, engine: Any, model: ChatModel | None = None, level: int = PUBLIC, rows: int = 20) -> set[str]:
+    """Adds the five built-in functions over an engine; the set returned holds the names activated so far. Lists are at most ``rows`` long."""
+    active: set[str] = set()
+    shown = lambda df: [r.asDict(recursive=True) for r in df.limit(rows).collect()]
+
+    def get_entities(keys: list[str]) -> dict:
+        """Rows of all entities with one of these keys."""
+        return {name: shown(df) for name, df in engine.get_entities(keys).items()}
+
+    def search(question: str, entity_table_name: str) -> dict:
+        """Rows of an entity that answer a question."""
+        a = engine.entity(entity_table_name).search(question)
+        return {"query_text": a.query_text, "confidence": a.confidence, "relational": shown(a.relational) if a.relational is not None else [], "vector": shown(a.vector) if a.vector is not None else [], "errors": a.errors}
+
+    def help(question: str) -> str | None:
+        """How a question could be gone about with the functions there are."""
+        return plan(question, model, functions).content if model else "\n".join(sorted(functions.tools))
+
+    def announce_generate_large_output(estimated_length: int) -> dict:
+        """Tells that a long answer follows."""
+        return {"message": "acknowledged", "estimated_length": estimated_length}
+
+    def activate_functions_by_name(function_names: list[str]) -> list[str]:
+        """Makes functions available by name."""
+        active.update(n for n in function_names if n in functions.tools)
+        return sorted(active)
+
+    for f in (help, get_entities, search, announce_generate_large_output, activate_functions_by_name):
+        functions.add(f, level=level)
+    return active
+
+
 class Cache:
     """Least recently used entries with a time to live and a hit rate; for models and other things the driver keeps."""
 
