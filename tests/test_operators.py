@@ -3,6 +3,7 @@ import json
 import uuid
 from typing import Any, Optional, Union
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -244,6 +245,33 @@ def test_components_say_when_they_are_not_finished(spark):
     assert connected_components(chain).select("component").distinct().count() == 1
 
 
+def test_components_of_many_edges_compare_without_overflow(spark):
+    from weftline.operators.components import _mark
+
+    n = 20_000_000  # a sum of hashes of 40 bits passes 2^63 from 17 million edges on
+    many = spark.range(n).selectExpr("id + 1 as u", "id as v")
+    assert _mark(many)[0] == n and _mark(many) != _mark(many.selectExpr("if(u = 5, 0, u) as u", "v"))
+
+
+def test_local_stars_keep_components(monkeypatch):
+    from weftline.operators import components
+
+    def least(edges):
+        of = {n: n for e in edges for n in e}
+        for _ in of:
+            for a, b in edges:
+                of[a] = of[b] = min(of[a], of[b])
+        return of
+
+    monkeypatch.setattr(components, "CHUNK", 8)
+    edges = [(f"n{i * i % 23}", f"n{i * 7 % 31}") for i in range(40)] + [("x", "x"), ("n1", "n1"), ("y", "z")]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*edges[i : i + 3], strict=True)], names=["u", "v"]) for i in range(0, len(edges), 3)]
+    stars = [(r["u"], r["v"]) for b in components._local_stars(iter(batches)) for r in b.to_pylist()]
+    assert least(stars) == least(edges)
+    one = [(r["u"], r["v"]) for r in next(components._local_stars(iter([pa.RecordBatch.from_arrays([pa.array(["a"] * 7), pa.array(["b"] * 7)], names=["u", "v"])]))).to_pylist()]
+    assert len(one) == 1
+
+
 def test_three_legs_on_nothing(spark):
     rows = spark.createDataFrame([], "id string, content string, graph_paths array<string>, userid string")
     e = spark.createDataFrame([], "source string, v array<float>")
