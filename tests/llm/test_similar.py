@@ -107,3 +107,21 @@ def test_a_third_of_all_rows_are_copies(spark):
         assert np.allclose([got[a][n][1] for n in range(1, 11)], sims[i, order], atol=2e-6)
     close = similar_vectors(usable_vectors(df, "t", "v"), 10, least=0.99).collect()
     assert {(r.id, r.rank, r.neighbour) for r in close} == {(a, n, x) for a, own in got.items() for n, (x, s) in own.items() if s >= 0.99}
+
+
+def test_least_is_the_first_bound_of_every_list(monkeypatch):
+    rng = np.random.default_rng(5)
+    mat = rng.normal(size=(1500, 32)).astype(np.float32)
+    mat[:120] = mat[0] + rng.normal(size=(120, 32)).astype(np.float32) * 0.2  # more than k others above the bound
+    mat[700:720] = mat[1300:1320] + rng.normal(size=(20, 32)).astype(np.float32) * 0.1
+    looked = []
+    monkeypatch.setattr(similar, "_recompute", lambda a, b, i, j, f=similar._recompute: (looked.append(len(i)), f(a, b, i, j)))
+    lists = []
+    for least in (None, 0.9):
+        looked.clear()
+        a, b = similar.Part(0, mat[:800], 10, least), similar.Part(800, mat[800:], 10, least)
+        for x, y in ((a, a), (a, b), (b, b)):
+            similar.compare(x, y)
+        lists.append({(p.num + r, round(s, 9), o) for p in (a, b) for r, s, o in zip(p.row, p.sim, p.other, strict=True) if s >= 0.9})
+    assert lists[0] == lists[1] and len(lists[1]) >= 120 * 10 + 40
+    assert sum(looked) < 120 * 120 and (a.sim >= 0.9).all() and (b.sim >= 0.9).all()

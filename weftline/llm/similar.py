@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 
 #: rows sent at once, rows and columns of a tile, columns that give the first bounds and how many of them count as one
 BLOCK, TILE, WIDE, FIRST, STRETCH = 2048, 1024, 4096, 8192, 16
+#: the same columns where a least similarity is the first bound; they still tell vectors that have more than k others above it
+FIRST_ABOVE = 1024
 #: rows whose lists are merged at once, pairs looked at once
 SLICE, HITS = 1024, 1 << 18
 #: codes of rows lie in -63..63 (moved to 1..127), codes of columns in -127..127: two products fit 16 bits
@@ -126,15 +128,16 @@ def best(row: np.ndarray, sim: np.ndarray, other: np.ndarray, k: int) -> tuple[n
 
 
 class Part:
-    """The vectors of a part and the running best k of each. ``num``: the number of its first vector."""
+    """The vectors of a part and the running best k of each. ``num``: the number of its first vector. ``least``: less similar ones are not wanted."""
 
-    def __init__(self, num: int, mat: np.ndarray, k: int):
+    def __init__(self, num: int, mat: np.ndarray, k: int, least: float | None = None):
         self.num, self.mat, self.k, self.m = num, mat, k, len(mat)
         self.norm = np.empty(self.m)
         for lo in range(0, self.m, TILE):
             self.norm[lo : lo + TILE] = np.linalg.norm(mat[lo : lo + TILE].astype(np.float64), axis=1)
         self.unit = mat / self.norm[:, None].astype(np.float32)
-        self.floor = np.full(self.m, -np.inf)
+        self.floor = np.full(self.m, -np.inf if least is None else least)
+        self.first = FIRST if least is None else FIRST_ABOVE
         self.row, self.sim, self.other = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
 
     def as_rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,7 +166,7 @@ class Part:
 
     def first_bounds(self, rows: np.ndarray, scale: np.ndarray, slack: np.ndarray, columns: np.ndarray) -> None:
         """Lower bounds of the k-th best from some columns: of the greatest of each STRETCH, k + 1 are as many other vectors, or itself and k."""
-        whole = columns.shape[1] // STRETCH * STRETCH
+        whole = min(columns.shape[1], self.first) // STRETCH * STRETCH
         if whole // STRETCH <= self.k:
             return
         columns = np.ascontiguousarray(columns[:, :whole])
@@ -178,11 +181,11 @@ def compare(a: Part, b: Part) -> None:
     rows, step, error = a.as_rows()
     columns, column_step, column_error = b.as_columns()
     scale, slack = step * column_step, error * (1 + column_error) + column_error + 1e-6
-    a.first_bounds(rows, scale, slack, columns[:, :FIRST])
+    a.first_bounds(rows, scale, slack, columns)
     if a is not b:
         back, back_step, back_error = b.as_rows()
         there, there_step, there_error = a.as_columns()
-        b.first_bounds(back, back_step * there_step, back_error * (1 + there_error) + there_error + 1e-6, there[:, :FIRST])
+        b.first_bounds(back, back_step * there_step, back_error * (1 + there_error) + there_error + 1e-6, there)
     for lo in range(0, a.m, TILE):
         for left in range(lo if a is b else 0, b.m, WIDE):
             hi, right = min(a.m, lo + TILE), min(b.m, left + WIDE)
@@ -298,7 +301,7 @@ def similar_vectors(vectors: DataFrame, k: int = 10, least: float | None = None,
     """The ``k`` nearest other vectors of each vector by cosine: (vec_table, model, id, neighbour, similarity, rank).
 
     ``vectors`` as from :func:`usable_vectors` (a union of several tables is fine). ``least``: of the k nearest only those at
-    least so similar are wanted; the lists are made in full and cut before ids are put in. ``tasks``: about how many there are, by
+    least so similar are wanted; it is the first bound of every list, so no less similar pair is computed again or sent. ``tasks``: about how many there are, by
     default one and a half a core; fewer shuffle less. ``part_bytes`` bounds what a task holds, see the module text.
     """
     spark = vectors.sparkSession
@@ -339,7 +342,7 @@ def similar_vectors(vectors: DataFrame, k: int = 10, least: float | None = None,
         sides = {}
         for part, own in blocks.items():
             own.sort(key=lambda x: x[0])
-            sides[part] = Part(own[0][0], np.concatenate([m for _, m in own]), k)
+            sides[part] = Part(own[0][0], np.concatenate([m for _, m in own]), k, least)
             own.clear()
         if not sides:
             return
@@ -365,8 +368,6 @@ def similar_vectors(vectors: DataFrame, k: int = 10, least: float | None = None,
     sent = sent.withColumn("task", F.explode("tasks")).drop("tasks").repartitionById(total, F.col("task"))
     lists = sent.select("grp", "part", "num", "dim", "mat").mapInArrow(run, LISTS)
     merged = lists.groupBy("grp", "part", "slice").applyInArrow(merge, MERGED)
-    if least is not None:
-        merged = merged.where(F.col("similarity") >= least)
     names = placed.select("vec_table", "model", "pid", "id", "h", "local").mapInArrow(name, NAMES)
     copies = cut(names.groupBy("grp", "h").agg(F.count("*").alias("c")).where("c > 1").select("grp", "h"))
     if copies.isEmpty():
